@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import exact_dedup, mixing, packing, quality, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def _over(name: str, f) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": _over("documents", quality.op1),
+    "op3_best_fit_packing": _over("documents", packing.op3),
+    "op5_simhash_near_dedup": _over("documents", simhash.op5),
+    "op6_exact_dedup": _over("documents", exact_dedup.op6),
+    "op7_mixing": _over("documents", mixing.op7),
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -41,5 +45,28 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
              OR 2 * length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) > length(regexp_replace(text, '[^\p{{L}}]+', '', 'g')) AS bad
       FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept FROM f
+""",
+    "op6_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER t AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))
+""",
+    "op7_mixing": rf"""
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size,
+                  (CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE AS u FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+l AS (SELECT *, 3 * source_size AS stop,
+             CAST(sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+             / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share
+      FROM s WINDOW o AS (ORDER BY 3 * source_size / weight, source NULLS LAST)),
+t AS (SELECT source, source_size, CASE WHEN stop <= weight * share OR level IS NULL THEN CAST(stop AS DOUBLE) ELSE weight * level END AS target
+      FROM (SELECT *, max(CASE WHEN stop <= weight * share THEN NULL ELSE share END) OVER () AS level FROM l)),
+e AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target * 1.0::DOUBLE / source_size) ELSE 0.0::DOUBLE END AS expected FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, floor(expected) AS certain, expected - floor(expected) AS p FROM e),
+r AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q, target - sum(certain * size) OVER (PARTITION BY source) AS room FROM q),
+c AS (SELECT *, CASE WHEN q IS NULL THEN NULL ELSE sum(CASE WHEN q IS NULL THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id) END AS until FROM r)
+SELECT doc_id, size, source_size, target,
+       CAST(certain AS BIGINT) * size + CASE WHEN until - size / 2.0 <= room THEN size ELSE 0 END AS taken
+FROM c
 """,
 }
