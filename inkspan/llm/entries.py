@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, quality, simhash
+from . import exact_dedup, langid, licenses, mixing, packing, quality, simhash, token_output, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,14 +18,50 @@ def _over(name: str, f) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": _over("documents", quality.op1),
+    "op2_license_scan": _over("documents", licenses.op2),
     "op3_best_fit_packing": _over("documents", packing.op3),
+    "op4_token_output": _over("documents", token_output.op4),
     "op5_simhash_near_dedup": _over("documents", simhash.op5),
     "op6_exact_dedup": _over("documents", exact_dedup.op6),
     "op7_mixing": _over("documents", mixing.op7),
+    "op8_toxicity": lambda spark, sf_dir: toxicity.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op9_warc": _over("pages", warc.op9),
+    "op10_language_id": _over("documents", langid.op10),
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+
+def _license_sql() -> str:
+    rows, idf, other = licenses.weights()
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    weights = ", ".join(f"({quoted(t)}, {i}, {w!r}::DOUBLE)" for t, i, w in rows)
+    terms = ", ".join(f"({quoted(t)}, {w!r}::DOUBLE)" for t, w in sorted(idf.items()))
+    names = ", ".join(f"({i}, {quoted(name)})" for i, (name, _) in enumerate(licenses.TEMPLATES))
+    speaks = licenses.SPEAKS.replace("'", "''")
+    return rf"""
+WITH weights(term, template, weight) AS (VALUES {weights}), idf(term, idf) AS (VALUES {terms}), names(template, license) AS (VALUES {names}),
+d AS (SELECT doc_id, coalesce(source, '_') || '/' || CAST(CAST(floor(doc_id / 100) AS BIGINT) AS VARCHAR) AS dir, text,
+             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{speaks}')) AS lines FROM documents),
+p AS (SELECT *, dir || '/' || CAST(doc_id AS VARCHAR) AS path FROM d),
+u AS (SELECT doc_id, unnest(range(len(lines))) AS unit, unnest(lines) AS line FROM d),
+w AS (SELECT doc_id, unit, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM u),
+t AS (SELECT doc_id, unit, term, count(*) AS tf FROM w GROUP BY ALL),
+x AS (SELECT t.*, tf * coalesce(idf, {other!r}::DOUBLE) AS x FROM t LEFT JOIN idf USING (term)),
+m AS (SELECT *, sqrt(sum(x * x) OVER z) AS norm, sum(tf) OVER z AS n FROM x WINDOW z AS (PARTITION BY doc_id, unit)),
+c AS (SELECT doc_id, unit, template, round(sum(x * weight) / first(norm), 6) AS cosine, first(n) AS n FROM m JOIN weights USING (term) GROUP BY doc_id, unit, template),
+h AS (SELECT * FROM c JOIN names USING (template) WHERE cosine >= {licenses.COSINE}),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY cosine DESC, license, template) AS k FROM h),
+o AS (SELECT doc_id, first(license ORDER BY cosine DESC, license, unit) AS license, max(cosine) AS cosine, sum(n) AS n FROM b WHERE k = 1 GROUP BY doc_id),
+f AS (SELECT p.doc_id, dir, path, license, cosine, 2 * n >= len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS is_file FROM p LEFT JOIN o USING (doc_id)),
+held AS (SELECT dir, first(license ORDER BY cosine DESC, path) AS license, max(cosine) AS cosine, first(path ORDER BY cosine DESC, path) AS path FROM f WHERE is_file GROUP BY dir)
+SELECT f.doc_id, f.path, coalesce(f.license, held.license) AS license, coalesce(f.cosine, held.cosine) AS cosine,
+       CASE WHEN f.is_file THEN 'file' WHEN f.license IS NOT NULL THEN 'header' WHEN held.license IS NOT NULL THEN 'inherited' END AS origin,
+       CASE WHEN f.license IS NOT NULL THEN f.path ELSE held.path END AS license_path
+FROM f LEFT JOIN held ON f.dir = held.dir
+"""
+
+
 SQL: dict[str, str] = {
     "op1_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w,
@@ -68,5 +104,19 @@ c AS (SELECT *, CASE WHEN q IS NULL THEN NULL ELSE sum(CASE WHEN q IS NULL THEN
 SELECT doc_id, size, source_size, target,
        CAST(certain AS BIGINT) * size + CASE WHEN until - size / 2.0 <= room THEN size ELSE 0 END AS taken
 FROM c
+""",
+    "op2_license_scan": _license_sql(),
+    "op9_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT html, max(page_id) AS first FROM p GROUP BY html),
+r AS (SELECT page_id, p.html, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to, lower(sha1(p.html)) AS d FROM p JOIN g ON p.html = g.html),
+-- base32: 40 hexadecimal digits are 160 bits, read five at a time
+n AS (SELECT DISTINCT html, d FROM r),
+c AS (SELECT html, k, list_sum(list_transform([0, 1, 2, 3, 4, 5, 6, 7], lambda j: CAST(strpos('0123456789abcdef', substr(d, 8 * k + j + 1, 1)) - 1 AS BIGINT) << (28 - 4 * j))) AS word FROM n, range(5) t(k)),
+f AS (SELECT html, string_agg(printf('%032b', CAST(word AS BIGINT)), '' ORDER BY k) AS bits FROM c GROUP BY html),
+e AS (SELECT html, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT)
+        + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT) AS BIGINT), 1), '' ORDER BY i) AS payload_digest FROM f, range(32) t(i) GROUP BY html)
+SELECT page_id, CAST(strlen(r.html) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM r JOIN e ON r.html = e.html
 """,
 }
