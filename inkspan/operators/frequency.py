@@ -86,7 +86,6 @@ def surface(text: Column) -> list[Column]:
     """Seventeen measures of spelling and punctuation of a text."""
     words = surface_words(text)
     n = F.greatest(F.size(words), F.lit(1)).cast("double")
-    size = F.greatest(F.length(text), F.lit(1)).cast("double")
     mean = F.aggregate(words, F.lit(0).cast("double"), lambda a, w: a + F.length(w)) / n
     spread = F.sqrt(F.greatest(F.lit(0.0), F.aggregate(words, F.lit(0).cast("double"), lambda a, w: a + F.length(w) * F.length(w)) / n - mean * mean))
     share = lambda test: F.size(F.filter(words, test)) / n
@@ -97,9 +96,8 @@ def surface(text: Column) -> list[Column]:
         ("upper_share", share(lambda w: (w == F.upper(w)) & (w != F.lower(w)))), ("capital_share", share(lambda w: F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1)))),
         ("type_token", F.size(F.array_distinct(F.transform(words, F.lower))) / n), ("words_a_sentence", F.size(words) / sentences),
     ]
-    for name, pattern in (("comma", ","), ("semicolon", ";"), ("colon", ":"), ("period", r"\."), ("question", r"\?"), ("exclamation", "!"), ("dash", "[-–—]"), ("quote", '["“”«»]')):
-        out.append((name, found(pattern) / size))
-    out.append(("apostrophe", found("['’]") / size))
+    for name, pattern in (("comma", ","), ("semicolon", ";"), ("colon", ":"), ("exclamation", "!"), ("question", r"\?"), ("dash", "—"), ("bracket", r"\("), ("quote", '"'), ("apostrophe", "['’]")):
+        out.append((name, found(pattern) / n))
     return [c.alias(name) for name, c in out]
 
 

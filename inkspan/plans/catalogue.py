@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import measures, structure  # noqa: F401
+from . import measures, models, structure  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -75,9 +75,9 @@ def richness(spark, sf):
 
 
 @register("mattr", _DOC_WORDS + """, n AS (SELECT doc, len(words) AS n, words FROM f WHERE len(words) > 0), s AS (SELECT doc, words, least(n, 100) AS size, unnest(range(n - least(n, 100) + 1)) AS start FROM n)
-SELECT doc, round(avg(len(list_distinct(words[start + 1:start + size])) * 1.0::DOUBLE / size), 4) AS mattr FROM s GROUP BY doc""")
+SELECT doc, round(avg(len(list_distinct(words[start + 1:start + size])) * 1.0::DOUBLE / size), 7) AS mattr FROM s GROUP BY doc""")
 def mattr(spark, sf):
-    return frequency.mattr(doc_words(spark, sf), ["doc"]).withColumn("mattr", F.round("mattr", 4))
+    return frequency.mattr(doc_words(spark, sf), ["doc"]).withColumn("mattr", F.round("mattr", 7))
 
 
 @register("surface_stats", r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{Nl}\p{No}]+(?:[''’][\p{L}\p{Nl}\p{No}]+)*') AS w FROM documents),
@@ -85,9 +85,7 @@ s AS (SELECT *, greatest(len(w), 1)::DOUBLE AS n, greatest(length(text), 1)::DOU
 m AS (SELECT *, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) / n AS mean, coalesce(list_sum(list_transform(w, lambda x: length(x) * length(x))), 0) / n AS sq FROM s)
 SELECT doc_id, round(mean, 6) AS mean_length, round(sqrt(greatest(0, sq - mean * mean)), 5) AS sd_length, round(len(list_filter(w, lambda x: length(x) <= 3)) / n, 6) AS short_share, round(len(list_filter(w, lambda x: length(x) >= 8)) / n, 6) AS long_share,
  round(len(list_filter(w, lambda x: x = upper(x) AND x <> lower(x))) / n, 6) AS upper_share, round(len(list_filter(w, lambda x: substr(x, 1, 1) <> lower(substr(x, 1, 1)))) / n, 6) AS capital_share, round(len(list_distinct(list_transform(w, lambda x: lower(x)))) / n, 6) AS type_token,
- round(len(w) * 1.0::DOUBLE / greatest(1, len(regexp_extract_all(text, '[.!?]+'))), 6) AS words_a_sentence, round(len(regexp_extract_all(text, ',')) / size, 6) AS comma, round(len(regexp_extract_all(text, ';')) / size, 6) AS semicolon, round(len(regexp_extract_all(text, ':')) / size, 6) AS colon,
- round(len(regexp_extract_all(text, '\.')) / size, 6) AS period, round(len(regexp_extract_all(text, '\?')) / size, 6) AS question, round(len(regexp_extract_all(text, '!')) / size, 6) AS exclamation, round(len(regexp_extract_all(text, '[-–—]')) / size, 6) AS dash,
- round(len(regexp_extract_all(text, '["“”«»]')) / size, 6) AS quote, round(len(regexp_extract_all(text, '[''’]')) / size, 6) AS apostrophe FROM m""")
+ round(len(w) * 1.0::DOUBLE / greatest(1, len(regexp_extract_all(text, '[.!?]+'))), 6) AS words_a_sentence, round(len(regexp_extract_all(text, ',')) / n, 6) AS comma, round(len(regexp_extract_all(text, ';')) / n, 6) AS semicolon, round(len(regexp_extract_all(text, ':')) / n, 6) AS colon, round(len(regexp_extract_all(text, '!')) / n, 6) AS exclamation, round(len(regexp_extract_all(text, '\?')) / n, 6) AS question, round(len(regexp_extract_all(text, '—')) / n, 6) AS dash, round(len(regexp_extract_all(text, '\(')) / n, 6) AS bracket, round(len(regexp_extract_all(text, '"')) / n, 6) AS quote, round(len(regexp_extract_all(text, '[''’]')) / n, 6) AS apostrophe FROM m""")
 def surface_stats(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     out = docs.select("doc_id", *frequency.surface(F.col("text")))
