@@ -136,7 +136,7 @@ _TAGS = "".join(f"regexp_replace(" for _ in range(4)) + "html" + "".join(rf", '(
 
 @register("page_text", rf"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace({_TAGS}, '(?i)<(br|/p|/div|/h\d|/li|/tr)[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
 b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t FROM a)
-SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \t\x0B\f\r]+', ' ', 'g'), ' ?\n[\n ]*', chr(10), 'g')) AS text FROM b""")
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t\x0B\f\r]+', ' ', 'g'), ' ?\n[\n ]*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM b""")
 def page_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", importers.html_text(F.col("html")).alias("text"))
 

@@ -32,7 +32,7 @@ def unit_scan(spark, sf):
 
 
 @register("token_counts", SQL_UNITS + r"""SELECT id, n_tokens AS folded, CAST(len(regexp_extract_all(text, '[\p{L}\p{Nl}\p{No}]+(?:[''’][\p{L}\p{Nl}\p{No}]+)*')) AS BIGINT) AS surface,
- CAST(len(regexp_extract_all(replace(lower(strip_accents(text)), 'ß', 'ss'), '[a-z]+')) AS BIGINT) AS script FROM units""")
+ CAST(len(regexp_extract_all(translate(lower(strip_accents(text)), '’‘', ''''''), '[a-z]+(?:''[a-z]+)*')) AS BIGINT) AS script FROM units""")
 def token_counts(spark, sf):
     u = counted(spark, sf)
     return u.select("id", F.col("n_tokens").alias("folded"), tokens.count_words(tokens.surface_words(F.col("text"))).alias("surface"), tokens.count_words(tokens.script_words(F.col("text"), F.col("language"))).alias("script"))

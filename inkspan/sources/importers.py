@@ -38,7 +38,7 @@ def nfc(text: pd.Series) -> pd.Series:
 
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, place, value): the lines of text files in order."""
-    whole = spark.read.option("wholetext", True).text(paths).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
+    whole = spark.read.text(paths, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
     return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("place", "value")).withColumn("place", F.col("place").cast("long"))
 
 
@@ -238,6 +238,15 @@ def packed_sentences(text: str, target: int = 25, least: int = 10) -> list[str]:
     return out
 
 
+def _kept_text(node: ET.Element, skip: set[str]) -> Iterator[str]:
+    """The text of a node in order, without that inside skipped elements."""
+    yield node.text or ""
+    for child in node:
+        if child.tag not in skip:
+            yield from _kept_text(child, skip)
+        yield child.tail or ""
+
+
 def parse_tei(name: str, content: bytes) -> Iterator[dict]:
     """Leaf text parts of a TEI edition, packed to units of about 25 words."""
     root = ET.fromstring(content)
@@ -245,11 +254,7 @@ def parse_tei(name: str, content: bytes) -> Iterator[dict]:
     leaves = [d for d in root.iter(f"{ns}div") if not d.findall(f".//{ns}div")] or [root]
     code = re.sub(r"\W", "", name.split(".xml")[0]).upper()
     for i, d in enumerate(leaves, 1):
-        for skip in ("note", "bibl", "head", "teiHeader", "del"):
-            for parent in list(d.iter()):
-                for child in [c for c in parent if c.tag == f"{ns}{skip}"]:
-                    parent.remove(child)
-        for j, text in enumerate(packed_sentences(" ".join("".join(d.itertext()).split())), 1):
+        for j, text in enumerate(packed_sentences(" ".join("".join(_kept_text(d, {f"{ns}{x}" for x in ("note", "bibl", "head", "teiHeader", "del")})).split())), 1):
             yield {"language": "grc", "collection": "First1K", "book": code, "book_title": code, "chapter": d.get("n") or str(i), "verse": str(j), "text": text, "source": "first1k"}
 
 
@@ -261,7 +266,7 @@ def html_text(html: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(out, r"(?i)<(br|/p|/div|/h\d|/li|/tr)[^>]*>", "\n"), r"<[^>]*>", " ")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t\x0B\f\r]+", " "), r" ?\n[\n ]*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[ \t\x0B\f\r]+", " "), r" ?\n[\n ]*", "\n"), r"^\s+|\s+$", "")
 
 
 def json_reports(spark, paths):
