@@ -116,11 +116,11 @@ def _records(doc_ids: list[int | None], texts: pa.Array, path: str, kind: np.dty
 def write(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_id", order_key: str = "order-1", vocabulary: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
     """Writes the shards to folder: (shard, path, records)."""
     path = vocabulary or tokens.default_vocabulary()
-    kind = record_type(tokens.encoding(path).n_vocab > 1 << 16, length)
+    kind = record_type(tokens.vocabulary_size(path) > 1 << 16, length)
     rows = docs.select(F.col(key).cast("long"), F.col(text))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(-(-len(tokens.document_ids(t.as_py(), path)) // length) for b in batches for t in b.column(1))
+        n = sum(-(-(len(tokens.plain_ids(t.as_py(), path)) + 1) // length) for b in batches for t in b.column(1))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], ["part", "n"])
 
     counted = dict(sorted((r["part"], r["n"]) for r in rows.mapInArrow(count, "part long, n long").collect()))

@@ -62,3 +62,15 @@ def test_empty_and_repeated(spark, no_docs):
     assert packing.op3(no_docs).count() == 0
     rows = spark.createDataFrame([(1, "a b c")] * 5 + [(None, None)], "doc_id long, text string")
     assert packing.op3(rows).count() == 6
+
+
+def test_white_space_runs_take_the_full_pattern():
+    from inkspan.llm import tokens
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    rng = random.Random(8)
+    parts = ["a", "Bé", "1", "?", "'s", " ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", " ", " ", "　", "​", "日"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 9)))
+        assert tokens.plain_ids(text, tokens.default_vocabulary()) == t.encode(text, add_special_tokens=False).ids
