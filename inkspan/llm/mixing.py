@@ -37,6 +37,8 @@ from .common import cut, word_array
 MOST_COPIES = 3
 WEIGHTS = 3
 RANGES = 4096
+#: Parts into which a source's rows are dealt where they meet its row.
+PARTS = 16
 
 
 def targets(sizes: DataFrame, most_copies: int = MOST_COPIES, weights: int = WEIGHTS) -> DataFrame:
@@ -72,6 +74,16 @@ def _cut_range(rows: DataFrame, by: list[str], ranges: Column) -> DataFrame:
     return passed.groupBy(*by).agg(F.min(F.struct("range", (F.col("room") - F.col("until") + F.col("in_range")).alias("room"))).alias("at")).select(*by, F.col("at.range").alias("range"), F.col("at.room").alias("room_there"))
 
 
+def _with_source(rows: DataFrame, by_source: DataFrame, name: str) -> DataFrame:
+    """rows joined to the one row of their source, whose column ``name`` holds it.
+    The source's row is repeated for PARTS parts, so that a source with a third of
+    all rows isn't one task's work."""
+    parts = by_source.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    part = F.pmod(F.xxhash64("key", "u"), F.lit(PARTS)).cast("int")
+    dealt = rows.withColumn("of_part", part)
+    return dealt.join(parts, F.col("source").eqNullSafe(F.col(name)) & (F.col("of_part") == F.col("part"))).drop(name, "of_part", "part")
+
+
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weight: Column | None = None, seed: str = "mix-1", most_copies: int = MOST_COPIES, weights: int = WEIGHTS, ranges: int = RANGES) -> DataFrame:
     """Each row's key, size, source_size, target, copies and taken."""
     sized = docs.select(
@@ -82,17 +94,16 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     totals = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("w") * F.col("size")).alias("w_size"))
     aimed = targets(totals.select("source", "source_size"), most_copies, weights).drop("weight")
     of_source = aimed.join(totals.select(F.col("source").alias("s"), "w_size"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    # one row a source: small beside its rows; Spark broadcasts it if its size, known by then, allows it
-    rows = slim.join(of_source.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rows = _with_source(slim, of_source.withColumnRenamed("source", "s"), "s")
     expected = F.when(F.col("w_size") > 0, F.least(F.lit(float(most_copies)), F.col("target") * F.col("w") / F.col("w_size"))).otherwise(F.lit(0.0))
     certain = F.floor(expected)
     p = F.col("expected") - F.col("certain")
     odds = F.when((p > 0) & (F.col("size") > 0), (F.col("u") / (1 - F.col("u"))) / (p / (1 - p)))
     ranked = rows.withColumn("expected", expected).withColumn("certain", certain).withColumn("q", odds)
     # in (0, 1) and in the order of q: the range's number comes from it
-    ranked = cut(ranked.withColumn("place", F.col("q") / (1 + F.col("q"))).select("key", "source", "size", "source_size", "target", "certain", "q", "place"))
+    ranked = cut(ranked.withColumn("place", F.col("q") / (1 + F.col("q"))).select("key", "source", "size", "source_size", "target", "certain", "u", "q", "place"))
     room = ranked.groupBy("source").agg((F.first("target") - F.sum(F.col("certain") * F.col("size"))).alias("room")).withColumnRenamed("source", "s")
-    drawn = ranked.where("q is not null").join(room, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    drawn = _with_source(ranked.where("q is not null"), room, "s")
 
     first = F.floor(F.col("place") * ranges).cast("long")
     second = F.floor((F.col("place") * ranges - F.floor(F.col("place") * ranges)) * ranges).cast("long")
@@ -106,7 +117,7 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     cut3 = last.groupBy("source").agg(F.max(F.struct("q", "key")).alias("last")).select(F.col("source").alias("s3"), F.col("last.q").alias("last_q"), F.col("last.key").alias("last_key"))
 
     edges = room.join(cut1, F.col("s").eqNullSafe(F.col("s1")), "left").join(cut2, F.col("s").eqNullSafe(F.col("s2")), "left").join(cut3, F.col("s").eqNullSafe(F.col("s3")), "left").select("s", "room", "r1", "r2", "last_q", "last_key")
-    out = ranked.join(edges, F.col("source").eqNullSafe(F.col("s")))
+    out = _with_source(ranked, edges, "s")
     below = (
         F.when(F.col("q").isNull(), F.lit(False))
         .when(F.col("r1").isNull(), F.col("room") > 0)  # all of them fit
