@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkspan.operators import distances, evaluate, profiles, supervised
+from inkspan.functions import tokens
+from inkspan.operators import distances, evaluate, intervals, profiles, spaces, supervised
 from inkspan.operators.discovery import Config
 from inkspan.sources import importers
 from inkspan.streaming import arrivals
@@ -180,3 +181,62 @@ def attribution_blocks(spark, sf):
     return distances.nearest_outside(distances.pairs(z, "z", "cosine"), docs)
 
 
+
+
+@register("rate_intervals")
+def rate_intervals(spark, sf):
+    from .measures import scored
+
+    s = scored(spark, sf).withColumn("hit", (F.col("quality") == (F.col("score") > 0.3).cast("int")).cast("double"))
+    return intervals.rate_intervals(s, ["lang"], "author", "work", "hit")
+
+
+_WORDS = r"""WITH w AS (SELECT doc_id, regexp_extract_all(replace(lower(strip_accents(coalesce(text, ''))), 'ß', 'ss'), '[\p{L}\p{Nl}\p{No}]+(?:[''’][\p{L}\p{Nl}\p{No}]+)?') AS words FROM documents)
+"""
+
+
+def _words(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tokens.folded_words(F.col("text")).alias("words"))
+
+
+@register("block_sample", _WORDS + """, n AS (SELECT doc_id, words, len(words) // 100 AS n FROM w), p AS (SELECT doc_id, words, unnest(CASE WHEN n <= 4 THEN range(n) ELSE list_transform(range(4), lambda i: CAST(floor(i * (n - 1) / 3.0) AS BIGINT)) END) AS block FROM n)
+SELECT doc_id, CAST(block AS BIGINT) AS block, CAST(block * 100 AS BIGINT) AS start, array_to_string(words[block * 100 + 1:block * 100 + 100], ' ') AS text, substr(sha256('block:' || CAST(doc_id AS VARCHAR) || ':' || CAST(block AS VARCHAR)), 1, 16) AS id FROM p""")
+def block_sample(spark, sf):
+    out = intervals.blocks_sample(_words(spark, sf), "doc_id", 100, 4)
+    return out.select("doc_id", F.col("block").cast("long").alias("block"), F.col("start").cast("long").alias("start"), F.array_join("words", " ").alias("text"), "id")
+
+
+@register("centred_units", _WORDS + """, n AS (SELECT doc_id, words, len(words) // 50 AS n FROM w), t AS (SELECT *, least(n, 3) AS take, (n - least(n, 3)) // 2 AS first FROM n), p AS (SELECT doc_id, words, unnest(range(first, first + take)) AS block FROM t)
+SELECT doc_id, CAST(block AS BIGINT) AS block, array_to_string(words[block * 50 + 1:block * 50 + 50], ' ') AS text FROM p""")
+def centred_units(spark, sf):
+    out = intervals.centred_units(_words(spark, sf), "doc_id", 50, 3)
+    return out.select("doc_id", F.col("block").cast("long").alias("block"), F.array_join("words", " ").alias("text"))
+
+
+@register("splice_control", _WORDS + """SELECT doc_id, array_to_string(list_concat(list_concat(words[1:len(words) // 2], ['x', 'y', 'z'][1:greatest(1, CAST(floor(len(words) * 0.2::DOUBLE) AS BIGINT))]), words[len(words) // 2 + greatest(1, CAST(floor(len(words) * 0.2::DOUBLE) AS BIGINT)) + 1:]), ' ') AS text FROM w WHERE len(words) > 0""")
+def splice_control(spark, sf):
+    rows = _words(spark, sf).where(F.size("words") > 0)
+    return rows.select("doc_id", F.array_join(intervals.spliced(F.col("words"), F.array(*map(F.lit, "xyz")), 0.2), " ").alias("text"))
+
+
+@register("deletion_control")
+def deletion_control(spark, sf):
+    rows = _words(spark, sf).where(F.size("words") > 0)
+    return rows.select("doc_id", F.size("words").alias("before"), F.size(intervals.deleted(F.col("words"), 0.02, "d1", "doc_id")).alias("after"))
+
+
+@register("document_topics")
+def document_topics(spark, sf):
+    docs = _words(spark, sf).where(F.size("words") > 0)
+    return spaces.topics(docs, "words", k=6).select("doc_id", F.transform("topics", lambda x: F.round(x, 4)).alias("topics"))
+
+
+@register("document_embeddings")
+def document_embeddings(spark, sf):
+    w = _words(spark, sf).select(F.col("doc_id").alias("doc"), F.posexplode("words").alias("pos", "word"))
+    return spaces.embedded(w, most_words=200, dimensions=20)
+
+
+@register("kmeans_partition")
+def kmeans_partition(spark, sf):
+    return spaces.partition(table(spark, sf, "embeddings"), "embedding", "vec_id", 5, 2).select("vec_id", "label", "cluster")

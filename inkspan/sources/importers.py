@@ -258,6 +258,46 @@ def parse_tei(name: str, content: bytes) -> Iterator[dict]:
             yield {"language": "grc", "collection": "First1K", "book": code, "book_title": code, "chapter": d.get("n") or str(i), "verse": str(j), "text": text, "source": "first1k"}
 
 
+def parse_codex(name: str, content: bytes) -> Iterator[dict]:
+    """Verses (ab elements) of a TEI transcription, as the first hand wrote them:
+    of an app only the original reading, without notes, running titles and margins;
+    the share of supplied words and gaps are told."""
+    skip, book, chapter = {"note", "fw"}, "UNK", "0"
+    local = lambda e: e.tag.rsplit("}", 1)[-1] if isinstance(e.tag, str) else ""
+
+    def word(e: ET.Element) -> str:
+        return e.get("norm") or re.sub(r"\s+", "", "".join(_kept_text(e, {c.tag for c in e.iter() if local(c) in skip})))
+
+    def first_hand(e: ET.Element, supplied: bool) -> Iterator[tuple[str, str, bool]]:
+        for c in e:
+            kind = local(c)
+            if kind in skip or kind == "seg" and c.get("type") == "margin" or kind == "rdg" and c.get("type") != "orig":
+                continue
+            if kind in ("w", "pc", "gap"):
+                yield kind, word(c) if kind == "w" else (c.text or "").strip(), supplied
+            else:
+                yield from first_hand(c, supplied or kind == "supplied")
+
+    for event, e in ET.iterparse(io.BytesIO(content), events=("start", "end")):
+        kind = local(e)
+        if event == "start":
+            if kind == "div" and e.get("type") == "book":
+                book = (e.get("{http://www.w3.org/XML/1998/namespace}id") or "").rsplit("-", 1)[-1] or e.get("n") or "UNK"
+            elif kind == "div" and e.get("type") == "chapter":
+                chapter = e.get("n") or "0"
+        elif kind == "ab":
+            m = re.match(r"^V-B\d+K(\d+)V(\d+)-\d+-([A-Z0-9]+)$", e.get("{http://www.w3.org/XML/1998/namespace}id") or "")
+            at, verse, code = m.groups() if m else (chapter, e.get("n") or "0", book)
+            parts = list(first_hand(e, False))
+            words = [x for x in parts if x[0] == "w" and x[1]]
+            text = ""
+            for k, t, _ in parts:
+                text += (" " if k == "w" and text else "") + t if t else ""
+            e.clear()
+            if words and verse != "0":
+                yield {"language": "grc", "collection": "Sinaiticus", "book": code, "book_title": code, "chapter": at, "verse": verse, "text": text, "source": "sinaiticus", "witness": "S", "has_gap": any(k == "gap" for k, _, _ in parts), "supplied_frac": sum(x[2] for x in words) / len(words)}
+
+
 def html_text(html: Column) -> Column:
     """Readable text of a page: no scripts, styles or tags; common entities read."""
     out = html
@@ -285,13 +325,17 @@ def federalist(spark, paths):
     return _files(spark, paths, parse_federalist)
 
 
+def codex(spark, paths):
+    return _files(spark, paths, parse_codex)
+
+
 def tei(spark, paths):
     return _files(spark, paths, parse_tei)
 
 
 #: Readers in the order in which their units are put together.
 READERS: dict[str, tuple[str, Callable[[SparkSession, str], DataFrame]]] = {
-    "cntr": ("cntr/class1/*.txt", manuscripts), "vaticanus": ("vaticanus/swete/*.txt", token_lines), "first1kgreek": ("first1kgreek/*.xml", tei),
+    "codex-sinaiticus": ("codex-sinaiticus/sinaiticus_full_v*.xml", codex), "cntr": ("cntr/class1/*.txt", manuscripts), "vaticanus": ("vaticanus/swete/*.txt", token_lines), "first1kgreek": ("first1kgreek/*.xml", tei),
     "apostolic-fathers": ("apostolic-fathers/texts/*.txt", referenced_lines), "oshb": ("oshb/*.xml", osis), "inscriptions": ("inscriptions/*.txt", inscriptions),
     "quran": ("quran/*.txt", piped), "hadith": ("hadith/*.json", json_reports), "federalist": ("english/federalist*.txt", federalist), "english": ("english/pg*.txt", prose),
 }
