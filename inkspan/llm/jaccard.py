@@ -1,0 +1,153 @@
+"""Near-duplicates by the exact Jaccard similarity of word shingles.
+
+Sets.  A text is the set of the XXH64 values (seed 42) of its word shingles.
+Texts with equal sets are one node, named by its smallest key.
+
+Candidates.  In any total order of the shingles, two sets of similarity t or more
+share one of the first n - ceil(t * n) + 1 shingles of each (the prefix filter),
+and the smaller has at least t times the shingles of the larger.  Each set also has BITS bits, each
+the parity of its shingles there: two sets differ in at least as many shingles as
+bits (pairs are compared by WIDE bits once more).  So no pair is missed, whatever the order; shingles that are frequent among about SAMPLE texts
+drawn by hash come last, which keeps buckets small.
+
+Verify.  In a bucket of equal shingles each node is first compared with its
+neighbour by size and with the smallest key; the components of the links found
+are then compared with each other, all members, so a large group of near copies
+is linked in linear work and yet no link between two components is missed.
+
+Defined results: null, empty and blank texts have the empty set and are linked;
+fewer words than a shingle has form one shingle; the component is the smallest
+key reachable; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import cut
+from .components import components
+from .simhash import SEED, shingle_hashes
+
+SAMPLE = 4000
+#: Bits that go with every shingle, and those that only pairs are compared by.
+BITS, WIDE = 512, 4096
+#: A shingle in so many texts of the sample counts as frequent.
+FREQUENT = 4
+#: At most so many frequent shingles are told to the tasks; this changes the order only.
+MOST_FREQUENT = 200_000
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text or "", size), np.uint64)).view(np.int64)
+
+
+def _arrays(lists: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate([np.empty(0, np.int64), *lists])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32)), pa.array(flat))
+
+
+def _parities(s: np.ndarray, bits: int) -> np.ndarray:
+    return np.packbits((np.bincount(s & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent shingles in ascending order, and in how many texts of the sample each is."""
+    share = max(1, docs.count() // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([_arrays([shingle_set(text, size) for text in b.column(0).to_pylist()]).values], ["shingle"])
+
+    drawn = docs.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).select("text").mapInArrow(run, "shingle long")
+    rows = drawn.groupBy("shingle").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "shingle").limit(MOST_FREQUENT).collect()
+    rows.sort()
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+
+
+def _heads(docs: DataFrame, size: int, least: Fraction, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, node, n, bits, wide, head): name, size and parities of the set, and its first shingles."""
+    known, often = frequent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, ns, bits, wide, heads = [], [], [], [], []
+            for text in b.column(1).to_pylist():
+                s = shingle_set(text, size)
+                nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63))
+                ns.append(len(s))
+                bits.append(_parities(s, BITS))
+                wide.append(_parities(s, WIDE))
+                at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
+                rank = np.where(known[at] == s, often[at], 0) if len(known) else np.zeros(len(s), np.int64)
+                heads.append(s[np.lexsort((s, rank))][: len(s) - math.ceil(least * len(s)) + 1])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(ns, pa.int64()), _arrays(bits), _arrays(wide), _arrays(heads)], ["key", "node", "n", "bits", "wide", "head"])
+
+    return docs.mapInArrow(run, "key long, node long, n long, bits array<long>, wide array<long>, head array<long>")
+
+
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _arrays([shingle_set(text, size) for text in b.column(1).to_pylist()])], ["key", "shingles"])
+
+    return docs.mapInArrow(run, "key long, shingles array<long>")
+
+
+def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Each row's key with component_id: components of all pairs of texts whose
+    shingle sets have a Jaccard similarity of ``similarity`` or more."""
+    least = Fraction(str(similarity))
+    up, down = least.numerator, least.denominator
+    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    heads = cut(_heads(docs, size, least, _frequent(docs, size)))
+    nodes = cut(heads.groupBy("node").agg(F.min("key").alias("rep"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.first("n").alias("n")))
+
+    def fits(a: Column, b: Column) -> Column:
+        return (a * down >= b * up) & (b * down >= a * up)  # null, so not met, where there is no neighbour
+
+    def may(a: Column, b: Column, n: Column, m: Column) -> Column:
+        """Bits a and b of sets of n and m shingles don't rule the pair out."""
+        apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        return fits(n, m) & (apart * (down + up) <= (n + m) * (down - up))
+
+    order = Window.partitionBy("shingle").orderBy("n", "node")
+    near = heads.select("node", "n", F.explode("head").alias("shingle")).withColumns({"before": F.lag("node").over(order), "n_before": F.lag("n").over(order), "n_after": F.lead("n").over(order)})
+    near = near.where(fits(F.col("n"), F.col("n_before")) | fits(F.col("n"), F.col("n_after"))).where("before is null or before <> node")
+    met = cut(near.select("node", "n", "shingle").join(nodes.where("rep is not null").drop("n", "wide"), "node").select("shingle", "rep", "n", "bits"))
+
+    by_size = Window.partitionBy("shingle").orderBy("n", "rep")
+    me = F.struct("rep", "n", "bits")
+    both = met.select(me.alias("a"), F.array(F.lag(me).over(by_size), F.min(me).over(Window.partitionBy("shingle"))).alias("b"))
+    tries = both.select("a", F.explode("b").alias("b")).where((F.col("a.rep") != F.col("b.rep")) & may(F.col("a.bits"), F.col("b.bits"), F.col("a.n"), F.col("b.n")))
+    tries = cut(tries.select(F.greatest("a.rep", "b.rep").alias("src"), F.least("a.rep", "b.rep").alias("dst")).distinct())
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        p, q = (nodes.select(F.col("rep").alias(k), F.col("wide").alias(f"wide_{k}"), F.col("n").alias(f"n_{k}")) for k in ("src", "dst"))
+        pairs = cut(pairs.join(p, "src").join(q, "dst").where(may(F.col("wide_src"), F.col("wide_dst"), F.col("n_src"), F.col("n_dst"))).select("src", "dst"))
+        ids = pairs.select(F.explode(F.array("src", "dst")).alias("key")).distinct()
+        sets = cut(_sets(docs.join(ids, "key", "left_semi"), size)).dropDuplicates(["key"])
+        a = sets.select(F.col("key").alias("src"), F.col("shingles").alias("x"))
+        b = sets.select(F.col("key").alias("dst"), F.col("shingles").alias("y"))
+        shared = pairs.join(a, "src").join(b, "dst").select("src", "dst", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("m"))
+        return cut(shared.where(F.col("m") * down >= (F.col("nx") + F.col("ny") - F.col("m")) * up).select("src", "dst"))
+
+    links = verified(tries)
+    found = components(links).select(F.col("src").alias("rep"), F.col("dst").alias("root"))
+    labelled = met.join(found, "rep", "left").select("shingle", "rep", "n", "bits", F.coalesce("root", "rep").alias("root"))
+    groups = labelled.groupBy("shingle", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    left, right = (groups.select("shingle", F.col("root").alias(f"root_{k}"), F.col("lo").alias(f"lo_{k}"), F.col("hi").alias(f"hi_{k}")) for k in "ab")
+    apart = left.join(right, "shingle").where("root_a < root_b").where((F.col("hi_a") * down >= F.col("lo_b") * up) & (F.col("hi_b") * down >= F.col("lo_a") * up)).select("shingle", "root_a", "root_b")
+    a, b = (labelled.select("shingle", F.col("root").alias(f"root_{k}"), F.col("rep").alias(f"rep_{k}"), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
+    rest = apart.join(a, ["shingle", "root_a"]).join(b, ["shingle", "root_b"]).where(may(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b")))
+    rest = cut(rest.select(F.greatest("rep_a", "rep_b").alias("src"), F.least("rep_a", "rep_b").alias("dst")).distinct().join(tries, ["src", "dst"], "left_anti"))
+    whole = components(links.unionByName(verified(rest))).select(F.col("src").alias("rep"), F.col("dst").alias("root"))
+    roots = nodes.join(whole, "rep", "left").select("node", F.coalesce("root", "rep").alias("component_id"))
+    return heads.select("key", "node").join(roots, "node", "left").select(F.col("key").alias(key), "component_id")

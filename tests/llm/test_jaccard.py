@@ -1,0 +1,70 @@
+import random
+
+import corpus_pipeline as pipeline
+from inkspan.llm import jaccard
+
+from .test_simhash import fingerprint
+
+
+def shingles(text, size=5):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def similar(a, b):
+    m = len(a & b)
+    return a == b or 10 * m >= 8 * len(a | b)
+
+
+def brute(rows):
+    sets, root = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    for i in sets:
+        for j in sets:
+            if j < i and similar(sets[i], sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {i: top(i) for i in sets}
+
+
+def drifting(seed=3):
+    """Texts in chains of changes, single texts, and a passage that many share."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(3000)}"
+    passage = [word() for _ in range(60)]
+    rows = []
+    for g in range(12):
+        now = [word() for _ in range(rng.choice([6, 30, 120, 200]))]
+        for _ in range(rng.choice([1, 4, 30])):
+            rows.append((len(rows), " ".join(now)))
+            now = list(now)
+            for at in rng.sample(range(len(now)), rng.choice([1, 1, 2, 5]) * len(now) // 100 + 1):
+                now[at] = word()
+    rows += [(len(rows) + k, " ".join(passage + [word() for _ in range(rng.randrange(25))])) for k in range(60)]
+    return rows
+
+
+def test_components_equal_brute_force(spark, edge_docs):
+    rows = drifting()
+    for given in (rows, [(r.doc_id, r.text) for r in edge_docs.collect()]):
+        docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+        got = jaccard.near_dedup(docs).collect()
+        assert {r.doc_id: r.component_id for r in got} == brute(given) and len(got) == len(given)
+
+
+def test_stage_drops_copies_beyond_two_bits(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    changed = base[:80] + ["other", "words"] + base[82:]
+    a, b = " ".join(base), " ".join(changed)
+    assert similar(shingles(a), shingles(b)) and (fingerprint(a) ^ fingerprint(b)).bit_count() > 2
+    rows = [(1, a, "en", "s", 1), (2, b, "en", "s", 1), (3, " ".join(reversed(base)), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in pipeline.near_stage(spark, docs, "").collect()} == {1, 3}
+
+
+def test_empty_table(no_docs):
+    assert jaccard.near_dedup(no_docs).count() == 0
