@@ -129,7 +129,7 @@ def gallery_scores(spark, sf):
 
 @register("impostors")
 def impostors(spark, sf):
-    return supervised.impostors(table(spark, sf, "embeddings"), "embedding", "label", "vec_id", rounds=40)
+    return supervised.impostors(table(spark, sf, "embeddings"), "embedding", "label", "vec_id", rounds=100)
 
 
 _TAGS = "".join(f"regexp_replace(" for _ in range(4)) + "html" + "".join(rf", '(?is)<{t}\b.*?</{t}>', ' ', 'g')" for t in ("script", "style", "nav", "head"))
