@@ -57,3 +57,8 @@ def let(value: Column, body) -> Column:
 def word_array(text: Column) -> Column:
     """The words of a text in order; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), "")
+
+
+def digest_of(text: Column) -> Column:
+    """What names a text: an md5, that of the empty text if it is null."""
+    return F.md5(F.coalesce(text, F.lit("")))

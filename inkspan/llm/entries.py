@@ -88,8 +88,9 @@ SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size, doc
 FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))
 """,
     "op7_mixing": rf"""
-WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size,
-                  (CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE AS u FROM documents),
+WITH b AS (SELECT doc_id, source, md5(coalesce(text, '')) AS digest, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, digest ORDER BY digest) - 1 AS k, length(bin(size)) AS w FROM b),
+v AS (SELECT *, (CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest || ':' || CAST(k AS VARCHAR)), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE AS u FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
 l AS (SELECT *, 3 * source_size AS stop,
              CAST(sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
@@ -97,13 +98,19 @@ l AS (SELECT *, 3 * source_size AS stop,
       FROM s WINDOW o AS (ORDER BY 3 * source_size / weight, source NULLS LAST)),
 t AS (SELECT source, source_size, CASE WHEN stop <= weight * share OR level IS NULL THEN CAST(stop AS DOUBLE) ELSE weight * level END AS target
       FROM (SELECT *, max(CASE WHEN stop <= weight * share THEN NULL ELSE share END) OVER () AS level FROM l)),
-e AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target * 1.0::DOUBLE / source_size) ELSE 0.0::DOUBLE END AS expected FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT source, w, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY source, w HAVING sum(size) > 0),
+y AS (SELECT c.source, w, (target - CAST(3 * coalesce(sum(words) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+             / CAST(sum(w * words) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
+      FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WINDOW o AS (PARTITION BY c.source ORDER BY w DESC)),
+z AS (SELECT source, max(CASE WHEN level * w >= 3 THEN NULL ELSE level END) AS level FROM y GROUP BY source),
+e AS (SELECT v.*, source_size, target, CASE WHEN source_size = 0 THEN 0.0::DOUBLE WHEN level IS NULL THEN 3.0::DOUBLE ELSE least(3.0::DOUBLE, level * w) END AS expected
+      FROM v JOIN t ON v.source IS NOT DISTINCT FROM t.source LEFT JOIN z ON v.source IS NOT DISTINCT FROM z.source),
 q AS (SELECT *, floor(expected) AS certain, expected - floor(expected) AS p FROM e),
 r AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q, target - sum(certain * size) OVER (PARTITION BY source) AS room FROM q),
-c AS (SELECT *, CASE WHEN q IS NULL THEN NULL ELSE sum(CASE WHEN q IS NULL THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id) END AS until FROM r)
+x AS (SELECT *, CASE WHEN q IS NULL THEN NULL ELSE sum(CASE WHEN q IS NULL THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY q NULLS LAST, digest, k) END AS until FROM r)
 SELECT doc_id, size, source_size, target,
        CAST(certain AS BIGINT) * size + CASE WHEN until - size / 2.0 <= room THEN size ELSE 0 END AS taken
-FROM c
+FROM x
 """,
     "op2_license_scan": _license_sql(),
     "op9_warc": """

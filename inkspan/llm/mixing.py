@@ -7,32 +7,42 @@ the others until none is above.  In closed form: by ascending size / weight the
 stopped sources come first, and a source is stopped if its limit lies below its
 share of what the stopped ones before it leave.
 
-Copies.  A document's expected copies are its source's target / size, times its
-``weight`` (if given) over the source's size-weighted mean of it.  The whole
-part is certain.  For the rest, every document has an inclusion probability p
-(the fraction) and a fixed uniform number u, an md5 of its key, and is ranked by
-the ratio of random odds to inclusion odds, (u / (1 - u)) / (p / (1 - p)).  The
-first in that order are taken while their sizes fill what the certain copies
-leave of the target: a fixed-size sample with unequal probabilities.
-
-Scale.  The cut in the order is found without sorting a source in one task: the
-sizes are summed by 4096 ranges of the rank, the range that holds the cut is
-split into 4096 again, and only the documents inside one range of that are put
-in order.  A source with a third of all rows is thus pre-aggregated everywhere,
-and one window holds a sixteen-millionth of it.
-
-Defined results: null and empty texts have size 0, a certain number of copies
-and no extra one, and take 0 words; equal ranks (repeated keys) are ordered by
-key, and rows that repeat a key are taken or left together; a null source is a
-source; an empty table gives an empty result.
+Copies.  A document's expected copies grow with its ``weight`` (1 if not given):
+level * weight, but ``most_copies`` at most, where the source's level is such that the
+expected words of all its documents add up to its target; what the limit takes from
+heavy documents is thus shared again among the lighter ones.  The whole part is
+certain.  For the rest, every document has an inclusion probability p (the fraction)
+and a fixed uniform number u, an md5 of its key, text and place among equal rows, and
+is ranked by the ratio of random odds to inclusion odds, (u / (1 - u)) / (p / (1 - p)).
+The first in that order are taken while their sizes fill what the certain copies leave
+of the target: a fixed-size sample with unequal probabilities.
+
+Rows.  A row is told from another by key, text and source; rows equal in all three are
+counted first (so that a row that is repeated very often is one row until then) and
+drawn one by one.
+
+Scale.  The level comes from the sums by source and weight, so weights must have few
+different values.  The cut in the order is found without sorting a source in one task:
+the sizes are summed by 4096 ranges of the rank, the range that holds the cut is split
+into 4096 again, and only the documents inside one range of that are put in order.  A
+source with a third of all rows is thus pre-aggregated everywhere, and one window holds
+a sixteen-millionth of it.
+
+Defined results: null and empty texts have size 0, a certain number of copies and no
+extra one, and take 0 words; long texts count whole; null, repeated or equal keys are
+no obstacle to reaching the target, as the text goes into u; equal ranks are ordered by
+text; a null source is a source; a null weight is 1; other columns are left out,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_array
+from .common import cut, digest_of, word_array
 
 MOST_COPIES = 3
 WEIGHTS = 3
@@ -59,12 +69,24 @@ def targets(sizes: DataFrame, most_copies: int = MOST_COPIES, weights: int = WEI
     return marked.select("source", "source_size", "weight", target.alias("target"))
 
 
-def uniform(key: Column, seed: str) -> Column:
-    """A fixed number in (0, 1) for a key: 52 bits of an md5."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 13), 16, 10)
+def uniform(parts: list[Column], seed: str) -> Column:
+    """A fixed number in (0, 1) for some values: 52 bits of an md5."""
+    texts = [F.coalesce(x.cast("string"), F.lit("")) for x in parts]
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *texts)), 1, 13), 16, 10)
     return (bits.cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+def levels(classes: DataFrame, most_copies: int) -> DataFrame:
+    """(source, target, w, words: those of its documents of weight w) to the level of
+    each source; null where the limit stops every weight."""
+    order = Window.partitionBy("source").orderBy(F.desc("w"))
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    level = (F.col("target") - most_copies * F.coalesce(F.sum("words").over(before), F.lit(0))) / F.sum(F.col("w") * F.col("words")).over(after)
+    open_ = classes.withColumn("level", level).withColumn("stopped", F.col("level") * F.col("w") >= most_copies)
+    # the heaviest weight that isn't stopped sets the level of all that follow; theirs are lower
+    return open_.groupBy("source").agg(F.max(F.when(~F.col("stopped"), F.col("level"))).alias("level"))
+
+
 def _cut_range(rows: DataFrame, by: list[str], ranges: Column) -> DataFrame:
     """For each of ``by``: the range in which the running size passes ``room``,
     and the room left at its start."""
@@ -79,31 +101,43 @@ def _with_source(rows: DataFrame, by_source: DataFrame, name: str) -> DataFrame:
     The source's row is repeated for PARTS parts, so that a source with a third of
     all rows isn't one task's work."""
     parts = by_source.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    part = F.pmod(F.xxhash64("key", "u"), F.lit(PARTS)).cast("int")
+    part = F.pmod(F.xxhash64("u"), F.lit(PARTS)).cast("int")
     dealt = rows.withColumn("of_part", part)
     return dealt.join(parts, F.col("source").eqNullSafe(F.col(name)) & (F.col("of_part") == F.col("part"))).drop(name, "of_part", "part")
 
 
-def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weight: Column | None = None, seed: str = "mix-1", most_copies: int = MOST_COPIES, weights: int = WEIGHTS, ranges: int = RANGES) -> DataFrame:
-    """Each row's key, size, source_size, target, copies and taken."""
-    sized = docs.select(
-        F.col(key).alias("key"), F.col(source).alias("source"), F.size(word_array(F.col(text))).cast("long").alias("size"),
-        (F.lit(1.0) if weight is None else weight.cast("double")).alias("w"), uniform(F.col(key), seed).alias("u"),
-    )
-    slim = cut(sized)
-    totals = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("w") * F.col("size")).alias("w_size"))
-    aimed = targets(totals.select("source", "source_size"), most_copies, weights).drop("weight")
-    of_source = aimed.join(totals.select(F.col("source").alias("s"), "w_size"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rows = _with_source(slim, of_source.withColumnRenamed("source", "s"), "s")
-    expected = F.when(F.col("w_size") > 0, F.least(F.lit(float(most_copies)), F.col("target") * F.col("w") / F.col("w_size"))).otherwise(F.lit(0.0))
+def size_digits(size: Column) -> Column:
+    """A weight for documents: the binary digits of their size, so that long ones are
+    likelier and yet the weights have few values."""
+    return F.length(F.bin(size)).cast("double")
+
+
+def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weight: Column | Callable[[Column], Column] | None = None, seed: str = "mix-1", most_copies: int = MOST_COPIES, weights: int = WEIGHTS, ranges: int = RANGES) -> DataFrame:
+    """Each row's key, source, digest, size, source_size, target, copies and taken.
+    ``weight`` is a Column of docs, or a function that gets the size's Column."""
+    own = F.lit(1.0) if weight is None or callable(weight) else F.coalesce(weight.cast("double"), F.lit(1.0))
+    base = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), digest_of(F.col(text)).alias("digest"), F.size(word_array(F.col(text))).cast("long").alias("size"), own.alias("w"))
+    counted = base.groupBy("key", "source", "digest", "size", "w").agg(F.count("*").alias("rows"))
+    if callable(weight):
+        counted = counted.withColumn("w", F.coalesce(weight(F.col("size")).cast("double"), F.lit(1.0)))
+    counted = cut(counted)
+    sized = counted.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).drop("rows").withColumn("u", uniform([F.col("key"), F.col("digest"), F.col("k")], seed))
+    by_weight = cut(counted.groupBy("source", "w").agg(F.sum(F.col("size") * F.col("rows")).alias("words")))
+    aimed = targets(by_weight.groupBy("source").agg(F.sum("words").alias("source_size")), most_copies, weights).drop("weight").withColumnRenamed("source", "s")
+    classes = by_weight.where("w > 0 and words > 0").join(aimed, F.col("source").eqNullSafe(F.col("s"))).select("source", "target", "w", "words")
+    level = levels(classes, most_copies).withColumnRenamed("source", "l")
+    of_source = cut(aimed.join(level, F.col("s").eqNullSafe(F.col("l")), "left").drop("l"))
+    rows = _with_source(sized, of_source, "s")
+    full = F.lit(float(most_copies))
+    expected = F.when((F.col("source_size") == 0) | (F.col("w") <= 0), F.lit(0.0)).when(F.col("level").isNull(), full).otherwise(F.least(full, F.col("level") * F.col("w")))
     certain = F.floor(expected)
     p = F.col("expected") - F.col("certain")
     odds = F.when((p > 0) & (F.col("size") > 0), (F.col("u") / (1 - F.col("u"))) / (p / (1 - p)))
-    ranked = rows.withColumn("expected", expected).withColumn("certain", certain).withColumn("q", odds)
+    ranked = rows.withColumn("expected", expected).withColumn("certain", certain).withColumn("q", odds).withColumn("tie", F.concat_ws(":", "digest", F.col("k").cast("string"), F.col("key").cast("string")))
     # in (0, 1) and in the order of q: the range's number comes from it
-    ranked = cut(ranked.withColumn("place", F.col("q") / (1 + F.col("q"))).select("key", "source", "size", "source_size", "target", "certain", "u", "q", "place"))
+    ranked = cut(ranked.withColumn("place", F.col("q") / (1 + F.col("q"))).select("key", "source", "digest", "size", "source_size", "target", "certain", "u", "q", "place", "tie"))
     room = ranked.groupBy("source").agg((F.first("target") - F.sum(F.col("certain") * F.col("size"))).alias("room")).withColumnRenamed("source", "s")
-    drawn = _with_source(ranked.where("q is not null"), room, "s")
+    drawn = _with_source(ranked.where("q is not null").select("source", "size", "u", "q", "place", "tie"), room, "s")
 
     first = F.floor(F.col("place") * ranges).cast("long")
     second = F.floor((F.col("place") * ranges - F.floor(F.col("place") * ranges)) * ranges).cast("long")
@@ -112,23 +146,40 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     cut2 = cut(_cut_range(in1, ["source"], second)).select(F.col("source").alias("s2"), F.col("range").alias("r2"), F.col("room_there").alias("room2"))
     in2 = in1.join(cut2, F.col("source").eqNullSafe(F.col("s2")) & (second == F.col("r2")))
     # the document that reaches over the target is taken if half of it fits
-    until = F.sum("size").over(Window.partitionBy("source").orderBy("q", "key"))
+    until = F.sum("size").over(Window.partitionBy("source").orderBy("q", "tie"))
     last = in2.withColumn("until", until).where(F.col("until") - F.col("size") / 2 <= F.col("room2"))
-    cut3 = last.groupBy("source").agg(F.max(F.struct("q", "key")).alias("last")).select(F.col("source").alias("s3"), F.col("last.q").alias("last_q"), F.col("last.key").alias("last_key"))
+    cut3 = last.groupBy("source").agg(F.max(F.struct("q", "tie")).alias("last")).select(F.col("source").alias("s3"), F.col("last.q").alias("last_q"), F.col("last.tie").alias("last_tie"))
 
-    edges = room.join(cut1, F.col("s").eqNullSafe(F.col("s1")), "left").join(cut2, F.col("s").eqNullSafe(F.col("s2")), "left").join(cut3, F.col("s").eqNullSafe(F.col("s3")), "left").select("s", "room", "r1", "r2", "last_q", "last_key")
-    out = _with_source(ranked, edges, "s")
+    edges = room.join(cut1, F.col("s").eqNullSafe(F.col("s1")), "left").join(cut2, F.col("s").eqNullSafe(F.col("s2")), "left").join(cut3, F.col("s").eqNullSafe(F.col("s3")), "left").select("s", "room", "r1", "r2", "last_q", "last_tie")
+    out = _with_source(ranked, cut(edges), "s")
     below = (
         F.when(F.col("q").isNull(), F.lit(False))
         .when(F.col("r1").isNull(), F.col("room") > 0)  # all of them fit
         .when(first != F.col("r1"), first < F.col("r1"))
         .when(second != F.col("r2"), second < F.col("r2"))
         .when(F.col("q") != F.col("last_q"), F.col("q") < F.col("last_q"))
-        .otherwise(F.coalesce(F.col("key") <= F.col("last_key"), F.lit(False)))
+        .otherwise(F.coalesce(F.col("tie") <= F.col("last_tie"), F.lit(False)))
     )
     copies = F.col("certain").cast("long") + F.coalesce(below, F.lit(False)).cast("long")
-    return out.select(F.col("key").alias(key), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(F.col("key").alias(key), F.col("source").alias(source), "digest", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def _identity(key: Column, source: Column, digest: Column) -> Column:
+    parts = [F.coalesce(F.concat(F.lit("="), x.cast("string")), F.lit("-")) for x in (key, source)]
+    return F.md5(F.concat_ws(":", digest, *parts))
+
+
+def taken_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **more) -> DataFrame:
+    """The rows of docs as often as the mix takes them.  Of equal rows each gets the
+    like number of copies, the first ones in the order of their other columns one more."""
+    mixed = mix(docs, text, key, source, **more).groupBy(_identity(F.col(key), F.col(source), F.col("digest")).alias("of_row")).agg(F.sum("copies").alias("all_copies"), F.count("*").alias("equal_rows"))
+    met = docs.withColumn("of_row", _identity(F.col(key), F.col(source), digest_of(F.col(text)))).join(mixed.where("all_copies > 0"), "of_row")
+    others = [c for c in docs.columns if c not in (text, key, source)]
+    place = F.row_number().over(Window.partitionBy("of_row").orderBy(*(others or ["of_row"]))) - 1
+    share = F.floor(F.col("all_copies") / F.col("equal_rows")) + (place < F.col("all_copies") % F.col("equal_rows")).cast("long")
+    counted = met.withColumn("share", F.when(F.col("equal_rows") == 1, F.col("all_copies")).otherwise(share)).where("share > 0")
+    return counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "share"))).select(*docs.columns)
 
 
 def op7(docs: DataFrame) -> DataFrame:
-    return mix(docs.select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs.select("doc_id", "text", "source"), weight=size_digits).select("doc_id", "size", "source_size", "target", "taken")

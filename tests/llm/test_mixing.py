@@ -62,7 +62,8 @@ def test_pareto_order_takes_the_smallest_ratios(spark):
     got = {r.doc_id: r for r in mixing.mix(docs).collect()}
 
     def u(i):
-        return (int(hashlib.md5(f"mix-1:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        digest = hashlib.md5(("w " * 10).encode()).hexdigest()
+        return (int(hashlib.md5(f"mix-1:{i}:{digest}:0".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
 
     extra = [i for i in got if rows[i][2] == "a" and got[i].copies > got[i].target // got[i].source_size]
     rest = [i for i in got if rows[i][2] == "a" and i not in set(extra)]
@@ -78,5 +79,40 @@ def test_weights_shift_the_copies(spark):
     assert 2.0 < heavy / light < 4.0
 
 
+def totals(rows):
+    taken, target = defaultdict(int), {}
+    for r in rows:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    return taken, target
+
+
+def test_null_and_repeated_keys_reach_the_targets(spark):
+    for key in (lambda i: None, lambda i: i if i % 2 else None, lambda i: i % 7, lambda i: 5):
+        for text in (lambda i: f"t{i} " * 10, lambda i: "w " * 10):
+            docs = spark.createDataFrame([(key(i), text(i), "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string")
+            got = mixing.mix(docs).collect()
+            taken, target = totals(got)
+            assert len(got) == 400 and all(abs(taken[s] - target[s]) <= 5 for s in "ab"), (taken, target)
+            rows = mixing.taken_rows(docs.withColumn("extra", mixing.F.lit(1))).groupBy("source").count().collect()
+            assert {r["source"]: 10 * r["count"] for r in rows} == dict(taken)
+
+
+def test_heavy_documents_stop_at_the_limit_and_the_rest_is_shared(spark):
+    rows = [(i, "w " * (400 if i < 10 else 10), "ab"[i % 2]) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, weight=lambda size: mixing.F.when(size > 100, 50.0).otherwise(1.0)).collect()
+    taken, target = totals(got)
+    assert all(abs(taken[s] - target[s]) <= 200 for s in "ab")
+    assert {r.copies for r in got if r.size == 400 and r.source == "b"} == {3}
+
+
+def test_sizes_change_the_odds_of_op7(spark):
+    docs = spark.createDataFrame([(i, "w " * (8 if i % 4 < 2 else 1024), "ab"[i % 2]) for i in range(4000)], "doc_id long, text string, source string")
+    got = [r for r in mixing.op7(docs).collect() if r.target < r.source_size]
+    short, long_ = (sum(r.taken / r.size for r in got if (r.size == 8) == s) for s in (True, False))
+    assert long_ > 1.5 * short
+
+
 def test_empty_table(no_docs):
     assert mixing.op7(no_docs).count() == 0
