@@ -31,10 +31,25 @@ def test_order_changes_no_verdict(spark, edge_docs):
     assert "lang" in forward.columns and dict(forward.dtypes)["kept"] == "boolean"
 
 
-def test_cheap_rules_that_reject_much_come_first():
-    a, b, c = (quality.Rule(x, None) for x in "abc")
-    got = quality.order([quality.Measured(a, 1.0, 0.5), quality.Measured(b, 0.1, 0.5), quality.Measured(c, 0.1, 0.0)])
-    assert [r.name for r in got] == ["b", "a", "c"]
+def test_rules_that_reject_much_of_what_is_left_for_little_come_first():
+    a, b, c, d = (quality.Rule(x, (y,), None) for x, y in (("a", "n_letters"), ("b", "n_upper"), ("c", "n_symbols"), ("d", "n_words")))
+    seconds = {"n_letters": 1.0, "n_upper": 0.1, "n_symbols": 0.1, "words": 5.0, "n_words": 0.0}
+    rows = [frozenset("abd"), frozenset("abd"), frozenset("ad"), frozenset()]
+    got = quality.order(quality.Measured(seconds, rows), [a, b, c, d])
+    assert [r.name for r in got] == ["b", "a", "c", "d"]  # a leaves d nothing to reject
+    got = quality.order(quality.Measured(seconds, rows), [a, b, c, d], ["words", "n_words"])
+    assert [r.name for r in got] == ["d", "a", "b", "c"]  # what is there already costs nothing
+
+
+def test_steps_are_taken_once_and_in_order():
+    assert quality.steps_of(("n_words", "n_repeat_words")) == ["words", "n_words", "n_repeat_words"]
+    assert quality.steps_of(("n_words", "n_repeat_words"), {"words", "n_words"}) == ["n_repeat_words"]
+
+
+def test_reason_and_null_keys(spark):
+    docs = spark.createDataFrame([(None, "w " * 60, "x"), (None, " ".join(f"word{i}" for i in range(60)), "y"), (1, None, "z")], "doc_id long, text string, rejected_by string")
+    got = {tuple(r) for r in quality.quality_rules(docs, reason=True, ordered=quality.RULES).select("doc_id", "rejected_by", "kept").collect()}
+    assert got == {(None, "repeated_windows", False), (None, None, True), (1, "few_words", False)}
 
 
 def test_empty_table(no_docs):
