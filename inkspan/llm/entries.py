@@ -41,10 +41,15 @@ def _license_sql() -> str:
     speaks = licenses.SPEAKS.replace("'", "''")
     return rf"""
 WITH weights(term, template, weight) AS (VALUES {weights}), idf(term, idf) AS (VALUES {terms}), names(template, license) AS (VALUES {names}),
-d AS (SELECT doc_id, coalesce(source, '_') || '/' || CAST(CAST(floor(doc_id / 100) AS BIGINT) AS VARCHAR) AS dir, text,
-             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{speaks}')) AS lines FROM documents),
-p AS (SELECT *, dir || '/' || CAST(doc_id AS VARCHAR) AS path FROM d),
-u AS (SELECT doc_id, unnest(range(len(lines))) AS unit, unnest(lines) AS line FROM d),
+d AS (SELECT doc_id, coalesce(source, '_') || '/' || CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR)
+             || CASE WHEN doc_id % 10 = 0 THEN '' ELSE '/' || CAST(CAST(floor(doc_id / 100) AS BIGINT) AS VARCHAR) END AS dir, text,
+             list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{speaks}')),
+                            lambda x: regexp_replace(x, '(?i)^.*(spdx-license-identifier)', '\1')) AS lines,
+             -- a line without letter or digit is marked, and blocks lie between marks
+             string_split(array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: CASE WHEN i > 1 AND NOT regexp_matches(x, '[\p{{L}}\p{{N}}]') THEN chr(1) ELSE x END), chr(10)), chr(10) || chr(1)) AS parts FROM documents),
+p AS (SELECT *, dir || '/' || CAST(doc_id AS VARCHAR) AS path, list_filter(parts, lambda x: contains(trim(x, ' ' || chr(9) || chr(10) || chr(13)), chr(10)) AND regexp_matches(x, '{speaks}')) AS blocks FROM d),
+v AS (SELECT doc_id, CASE WHEN len(lines) > 0 THEN list_concat(lines, blocks) ELSE [] END AS units FROM p),
+u AS (SELECT doc_id, unnest(range(len(units))) AS unit, unnest(units) AS line FROM v),
 w AS (SELECT doc_id, unit, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM u),
 t AS (SELECT doc_id, unit, term, count(*) AS tf FROM w GROUP BY ALL),
 x AS (SELECT t.*, tf * coalesce(idf, {other!r}::DOUBLE) AS x FROM t LEFT JOIN idf USING (term)),
@@ -54,11 +59,14 @@ h AS (SELECT * FROM c JOIN names USING (template) WHERE cosine >= {licenses.COSI
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY cosine DESC, license, template) AS k FROM h),
 o AS (SELECT doc_id, first(license ORDER BY cosine DESC, license, unit) AS license, max(cosine) AS cosine, sum(n) AS n FROM b WHERE k = 1 GROUP BY doc_id),
 f AS (SELECT p.doc_id, dir, path, license, cosine, 2 * n >= len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS is_file FROM p LEFT JOIN o USING (doc_id)),
-held AS (SELECT dir, first(license ORDER BY cosine DESC, path) AS license, max(cosine) AS cosine, first(path ORDER BY cosine DESC, path) AS path FROM f WHERE is_file GROUP BY dir)
-SELECT f.doc_id, f.path, coalesce(f.license, held.license) AS license, coalesce(f.cosine, held.cosine) AS cosine,
-       CASE WHEN f.is_file THEN 'file' WHEN f.license IS NOT NULL THEN 'header' WHEN held.license IS NOT NULL THEN 'inherited' END AS origin,
-       CASE WHEN f.license IS NOT NULL THEN f.path ELSE held.path END AS license_path
-FROM f LEFT JOIN held ON f.dir = held.dir
+held AS (SELECT dir, first(license ORDER BY cosine DESC, path) AS license, max(cosine) AS cosine, first(path ORDER BY cosine DESC, path) AS path FROM f WHERE is_file AND license IS NOT NULL GROUP BY dir),
+wanting AS (SELECT DISTINCT dir FROM f WHERE license IS NULL),
+ancestor AS (SELECT dir, k, array_to_string(list_slice(string_split(dir, '/'), 1, k), '/') AS up FROM wanting, range(0, 5) t(k) WHERE k <= len(string_split(dir, '/'))),
+near AS (SELECT a.dir, first(h.license ORDER BY k DESC) AS license, first(h.cosine ORDER BY k DESC) AS cosine, first(h.path ORDER BY k DESC) AS path FROM ancestor a JOIN held h ON a.up = h.dir GROUP BY a.dir)
+SELECT f.doc_id, f.path, coalesce(f.license, near.license) AS license, coalesce(f.cosine, near.cosine) AS cosine,
+       CASE WHEN f.license IS NOT NULL AND f.is_file THEN 'file' WHEN f.license IS NOT NULL THEN 'header' WHEN near.license IS NOT NULL THEN 'inherited' END AS origin,
+       CASE WHEN f.license IS NOT NULL THEN f.path ELSE near.path END AS license_path
+FROM f LEFT JOIN near ON f.dir = near.dir
 """
 
 
