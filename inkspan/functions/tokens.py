@@ -52,14 +52,22 @@ def surface_words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SURFACE_WORD), F.lit(0))
 
 
+#: What one letter becomes at import, by language: its variants, and lower case and
+#: straight apostrophes where the script has them.
+_BARE = {
+    "hbo": str.maketrans(VARIANTS["hbo"]),
+    "arb": str.maketrans(VARIANTS["arb"]),
+    "grc": {c: VARIANTS["grc"].get(chr(c).lower(), chr(c).lower()) for block in (range(0x370, 0x400), range(0x41, 0x5B)) for c in block},
+    "eng": {ord("’"): "'", ord("‘"): "'"},
+}
+
+
 def bare_text(text: str, language: str) -> str:
     """A text without marks, its variant letters made one, for counting words."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) != "Mn")
-    if language in ("hbo", "arb"):
-        return plain.translate(str.maketrans(VARIANTS[language]))
-    if language == "grc":
-        return plain.translate(str.maketrans(VARIANTS["grc"])).lower().replace("ς", "σ")
-    return plain.lower().replace("’", "'").replace("‘", "'")
+    letters = _BARE.get(language, _BARE["eng"])
+    unmarked = filter(lambda c: unicodedata.category(c) != "Mn", unicodedata.normalize("NFKD", text))
+    mapped = "".join(unmarked).translate(letters)
+    return mapped if language in ("hbo", "arb", "grc") else mapped.lower()
 
 
 @F.pandas_udf(StringType())

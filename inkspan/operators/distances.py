@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkspan.operators.frequency import word_pairs
+
 QUIET = 1e-12
 
 
@@ -73,12 +75,11 @@ def within_between(distances: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.groupBy("block").agg(F.avg(F.when(same, F.col("distance"))).alias("within"), F.avg(F.when(~same, F.col("distance"))).alias("between"))
 
 
-def adjacency(words: DataFrame, markers: list[str], window: int = 5) -> DataFrame:
+def adjacency(texts: DataFrame, markers: list[str], window: int = 5) -> DataFrame:
     """Marker network (doc, src, dst, weight): a marker pair at distance d within
-    the window weighs 1/d.  words: (doc, pos, word)."""
-    marks = words.where(F.col("word").isin(markers))
-    steps = marks.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(window)))).select("doc", (F.col("pos") + F.col("step")).alias("pos"), "step", F.col("word").alias("src"))
-    return steps.join(marks.select("doc", "pos", F.col("word").alias("dst")), ["doc", "pos"]).groupBy("doc", "src", "dst").agg(F.sum(1 / F.col("step")).alias("weight"))
+    the window weighs 1/d.  texts: (doc, words array); pairs are made inside the row."""
+    both = F.filter(word_pairs(F.col("words"), window), lambda p: p["a"].isin(markers) & p["b"].isin(markers))
+    return texts.select("doc", F.explode(both).alias("p")).groupBy("doc", F.col("p.a").alias("src"), F.col("p.b").alias("dst")).agg(F.sum(1 / F.col("p.step")).alias("weight"))
 
 
 def transitions(edges: DataFrame, docs: DataFrame, markers: list[str], smoothing: float = 0.01) -> DataFrame:

@@ -113,14 +113,13 @@ def hash_buckets(rows: DataFrame, keys: list[str], item: str, buckets: int, seed
     return rows.select(*keys, item).distinct().withColumn("n", n).withColumn("bucket", (place % buckets).cast("long")).where(F.col("n") >= least).drop("n")
 
 
-def pair_sample(passages: DataFrame, work: str, item: str, group: str, most: int, seed: str, offered: int | None = None) -> DataFrame:
+def pair_sample(passages: DataFrame, work: str, item: str, group: str, most: int, seed: str, offered: int = 8) -> DataFrame:
     """For each two works of a group, the ``most`` passage pairs of lowest hash.
 
-    All pairs of two works compete, which grows with the square of a group.
-    ``offered`` bounds that: each work then offers its passages of lowest hash."""
+    Each work offers its ``offered`` passages of lowest hash, so that two works have
+    offered ** 2 pairs to choose from, however many passages they have."""
     rows = passages.select(group, work, item)
-    if offered is not None:
-        rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(group, work).orderBy(hash_rank(seed, item), item))).where(F.col("k") <= offered).drop("k")
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(group, work).orderBy(hash_rank(seed, item), item))).where(F.col("k") <= offered).drop("k")
     left = rows.select(group, F.col(work).alias("work_a"), F.col(item).alias("a"))
     right = rows.select(group, F.col(work).alias("work_b"), F.col(item).alias("b"))
     pairs = left.join(right, group).where("work_a < work_b")

@@ -33,13 +33,23 @@ def char_ngrams(text: Column, n: int) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
-def collocations(words: DataFrame, keys: list[str], window: int = 3, least: int = 3) -> DataFrame:
+def word_pairs(words: Column, window: int) -> Column:
+    """Structs (a, b, step) of the ordered pairs of an array of words at most ``window``
+    apart, made inside the row."""
+    def at(step: int) -> Column:
+        last = F.size(words) - step
+        pairs = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(F.get(words, i - 1).alias("a"), F.get(words, i - 1 + step).alias("b"), F.lit(step).alias("step")))
+        return F.when(last >= 1, pairs).otherwise(F.array().cast("array<struct<a: string, b: string, step: int>>"))
+
+    return F.concat(*[at(step) for step in range(1, window + 1)])
+
+
+def collocations(texts: DataFrame, keys: list[str], window: int = 3, least: int = 3) -> DataFrame:
     """Ordered pairs of words at most ``window`` apart, with their pointwise mutual
-    information.  words: (keys, text_id, pos, word); pairs are made by an equal
-    join on the place, one for each distance, not by a range join."""
-    shifted = words.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(window)))).select(*keys, "text_id", (F.col("pos") + F.col("step")).alias("pos"), F.col("word").alias("a"))
-    pairs = shifted.join(words.select(*keys, "text_id", "pos", F.col("word").alias("b")), [*keys, "text_id", "pos"]).groupBy(*keys, "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    single = word_counts(words, keys)
+    information.  texts: (keys, words array); pairs are counted where they are made and
+    shuffled once, as counts."""
+    pairs = texts.select(*keys, F.explode(word_pairs(F.col("words"), window)).alias("p")).groupBy(*keys, F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    single = word_counts(texts.select(*keys, F.explode("words").alias("word")), keys)
     total = single.groupBy(*keys).agg(F.sum("n").alias("total"))
     joined = pairs.join(single.select(*keys, F.col("word").alias("a"), F.col("n").alias("na")), [*keys, "a"]).join(single.select(*keys, F.col("word").alias("b"), F.col("n").alias("nb")), [*keys, "b"]).join(total, keys)
     return joined.select(*keys, "a", "b", "n", F.log2(F.col("n") * F.col("total") / (F.col("na") * F.col("nb"))).alias("pmi"))

@@ -20,6 +20,11 @@ def words(spark, sf):
     return units(spark, sf).select("language", F.col("collection").alias("source"), "doc_id", F.col("id").alias("text_id"), "seq", F.posexplode(tokens.folded_words(F.col("text"))).alias("pos", "word"))
 
 
+def doc_texts(spark, sf):
+    """(doc, language, source, words): a row a document, its words in an array."""
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.col("lang").alias("language"), "source", tokens.folded_words(F.col("text")).alias("words"))
+
+
 def doc_words(spark, sf):
     docs = table(spark, sf, "documents")
     return docs.select(F.col("lang").alias("language"), "source", F.col("doc_id").alias("doc"), F.posexplode(tokens.folded_words(F.col("text"))).alias("pos", "word"))
@@ -43,10 +48,10 @@ def word_bigrams(spark, sf):
     return frequency.word_counts(rows, ["language"]).where("n >= 5")
 
 
-@register("char_4grams", SQL_UNITS + """, p AS (SELECT language, ' ' || text || ' ' AS t FROM units WHERE verse = '1'), g AS (SELECT language, unnest(list_transform(range(1, greatest(length(t) - 2, 1)), lambda i: substr(t, i, 4))) AS word FROM p)
+@register("char_4grams", SQL_UNITS + """, p AS (SELECT language, ' ' || text || ' ' AS t FROM units), g AS (SELECT language, unnest(list_transform(range(1, greatest(length(t) - 2, 1)), lambda i: substr(t, i, 4))) AS word FROM p)
 SELECT language, word, count(*) AS n FROM g GROUP BY language, word HAVING count(*) >= 3""")
 def char_4grams(spark, sf):
-    rows = units(spark, sf).where("verse = '1'").select("language", F.explode(frequency.char_ngrams(F.col("text"), 4)).alias("word"))
+    rows = units(spark, sf).select("language", F.explode(frequency.char_ngrams(F.col("text"), 4)).alias("word"))
     return frequency.word_counts(rows, ["language"]).where("n >= 3")
 
 
@@ -62,7 +67,8 @@ def repeated_phrases(spark, sf):
 p AS (SELECT a.language, a.word AS a, b.word AS b, count(*) AS n FROM tok a JOIN tok b ON a.id = b.id AND b.pos > a.pos AND b.pos - a.pos <= 3 GROUP BY ALL HAVING count(*) >= 3)
 SELECT p.language, p.a, p.b, p.n, round(log2(p.n * t.total * 1.0::DOUBLE / (x.n * y.n)), 5) AS pmi FROM p JOIN s x ON x.language = p.language AND x.word = p.a JOIN s y ON y.language = p.language AND y.word = p.b JOIN t ON t.language = p.language""")
 def collocations(spark, sf):
-    return frequency.collocations(words(spark, sf), ["language"]).withColumn("pmi", F.round("pmi", 5))
+    texts = units(spark, sf).select("language", tokens.folded_words(F.col("text")).alias("words"))
+    return frequency.collocations(texts, ["language"]).withColumn("pmi", F.round("pmi", 5))
 
 
 @register("richness", _DOC_WORDS + """, c AS (SELECT doc, word, count(*) AS n FROM w GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, word) AS place FROM c),
@@ -202,7 +208,7 @@ e AS (SELECT a.doc, a.word AS src, b.word AS dst, sum(1.0::DOUBLE / (b.pos - a.p
 
 @register("wan_edges", _EDGES + "SELECT doc, src, dst, round(weight, 6) AS weight FROM e")
 def wan_edges(spark, sf):
-    return r6(distances.adjacency(doc_words(spark, sf), _MARKERS), "weight")
+    return r6(distances.adjacency(doc_texts(spark, sf), _MARKERS), "weight")
 
 
 @register("wan_divergence", _DOC_WORDS + """, k AS (SELECT language || '|' || source AS doc, language, doc AS text, pos, word FROM w WHERE word IN ('the', 'of', 'and', 'to', 'in', 'der', 'die', 'und')),
@@ -212,9 +218,9 @@ c AS (SELECT g.doc, g.block, m.x AS src, n.x AS dst, coalesce(weight, 0) AS weig
 p AS (SELECT *, (weight + 0.01::DOUBLE) / (sum(weight) OVER (PARTITION BY doc, src) + 0.08::DOUBLE) AS p FROM c)
 SELECT a.block, a.doc AS a, b.doc AS b, round(sum(a.p * log2(a.p / b.p) + b.p * log2(b.p / a.p)) / 2 / 8, 5) AS divergence FROM p a JOIN p b ON a.block = b.block AND a.src = b.src AND a.dst = b.dst AND a.doc < b.doc GROUP BY ALL""")
 def wan_divergence(spark, sf):
-    w = doc_words(spark, sf)
-    docs = w.select(F.concat_ws("|", "language", "source").alias("doc"), F.col("language").alias("block")).distinct()
-    edges = distances.adjacency(w, _MARKERS).join(w.select("doc", F.concat_ws("|", "language", "source").alias("of")).distinct(), "doc").groupBy(F.col("of").alias("doc"), "src", "dst").agg(F.sum("weight").alias("weight"))
+    texts = doc_texts(spark, sf).where(F.size("words") > 0).withColumn("doc", F.concat_ws("|", "language", "source"))
+    docs = texts.select("doc", F.col("language").alias("block")).distinct()
+    edges = distances.adjacency(texts, _MARKERS)
     return distances.divergence(distances.transitions(edges, docs, _MARKERS), docs).withColumn("divergence", F.round("divergence", 5))
 
 
@@ -304,10 +310,9 @@ def hash_buckets(spark, sf):
     return evaluate.hash_buckets(table(spark, sf, "documents"), ["lang"], "source", 3, "s1", 3)
 
 
-@register("pair_sample", "WITH d AS (SELECT lang, source, doc_id FROM documents WHERE source IN ('src1', 'src2', 'src3')), p AS (SELECT x.lang, x.source AS work_a, y.source AS work_b, x.doc_id AS a, y.doc_id AS b FROM d x JOIN d y ON x.lang = y.lang AND x.source < y.source), k AS (SELECT *, row_number() OVER (PARTITION BY lang, work_a, work_b ORDER BY sha256('p1:' || CAST(a AS VARCHAR) || ':' || CAST(b AS VARCHAR)), a, b) AS place FROM p) SELECT * FROM k WHERE place <= 8")
+@register("pair_sample", "WITH d AS (SELECT lang, source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY sha256('p1:' || CAST(doc_id AS VARCHAR)), doc_id) AS k FROM documents) WHERE k <= 8), p AS (SELECT x.lang, x.source AS work_a, y.source AS work_b, x.doc_id AS a, y.doc_id AS b FROM d x JOIN d y ON x.lang = y.lang AND x.source < y.source), k AS (SELECT *, row_number() OVER (PARTITION BY lang, work_a, work_b ORDER BY sha256('p1:' || CAST(a AS VARCHAR) || ':' || CAST(b AS VARCHAR)), a, b) AS place FROM p) SELECT * FROM k WHERE place <= 8")
 def pair_sample(spark, sf):
-    docs = table(spark, sf, "documents").where(F.col("source").isin("src1", "src2", "src3"))
-    return evaluate.pair_sample(docs, "source", "doc_id", "lang", 8, "p1").withColumn("place", F.col("place").cast("long"))
+    return evaluate.pair_sample(table(spark, sf, "documents"), "source", "doc_id", "lang", 8, "p1").withColumn("place", F.col("place").cast("long"))
 
 
 @register("cycle_roles", "WITH h AS (SELECT DISTINCT lang, source FROM documents), k AS (SELECT *, row_number() OVER w AS place, coalesce(lead(source) OVER w, first(source) OVER w) AS impostor FROM h WINDOW w AS (PARTITION BY lang ORDER BY sha256('r1:' || source), source)) SELECT * FROM k")

@@ -341,6 +341,10 @@ READERS: dict[str, tuple[str, Callable[[SparkSession, str], DataFrame]]] = {
 }
 
 
+#: Sources of which each file is a version of the whole edition.
+VERSIONED = {"codex-sinaiticus"}
+
+
 def build_corpus(spark: SparkSession, raw: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(units of primary witnesses, accounts of sources, choices of witnesses) of a
     folder of raw editions.  Every source is tried before one error lists those
@@ -348,11 +352,14 @@ def build_corpus(spark: SparkSession, raw: str) -> tuple[DataFrame, DataFrame, D
     found, accounts, failed = [], [], []
     for k, (name, (pattern, reader)) in enumerate(READERS.items()):
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{raw}/{pattern}")
-        if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop):
+        present = sorted(str(f.getPath()) for f in hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop))
+        if not present:
             accounts.append((name, "missing", 0))
             continue
+        # of several versions of one edition the last by name is read
+        paths = present[-1] if name in VERSIONED else f"{raw}/{pattern}"
         try:
-            units = reader(spark, f"{raw}/{pattern}").withColumn("source_dir", F.lit(name)).withColumn("ordinal", F.lit(k))
+            units = reader(spark, paths).withColumn("source_dir", F.lit(name)).withColumn("ordinal", F.lit(k))
             n = units.count()
             if not n:
                 raise ValueError("a present source gave no text")

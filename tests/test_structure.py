@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +158,42 @@ def test_runs_break_at_gaps(spark):
     u = spark.createDataFrame([("x", 1, 1, False), ("x", 2, 2, False), ("x", 3, 4, False), ("x", 4, 5, True), ("x", 5, 6, False)], "book string, seq long, n int, has_gap boolean")
     got = continuity.runs(u, continuity.follows_by_number("n", ("book",)), ("book",)).orderBy("seq").collect()
     assert [r.run for r in got] == [1, 1, 2, 3, 4]
+
+
+def test_packing_is_linear_in_one_segment(spark):
+    def seconds(n):
+        units = spark.range(n).selectExpr("'s' as k", "id as seq", "cast(20 + id % 11 as long) as n_tokens").repartition(4).cache()
+        units.count()
+        began = time.perf_counter()
+        got = passages.packed(units, ["k"], 1200, 200).groupBy("block").count().count()
+        assert got > n // 60
+        return time.perf_counter() - began
+
+    seconds(1000)
+    small, large = seconds(80_000), seconds(320_000)
+    assert large < 8 * small + 2, (small, large)
+
+
+def test_packing_equals_a_plain_loop(spark):
+    rng = random.Random(4)
+    rows = [(k, i, rng.randrange(0, 700)) for k in "abcd" for i in range(rng.choice([1, 2, 60]))] + [(None, 0, 5), (None, 1, 2000), (None, 2, 10)]
+    want = {}
+    for k in {r[0] for r in rows}:
+        block, total, mine = 0, 0, []
+        for _, i, n in (r for r in rows if r[0] == k):
+            mine.append((i, block))
+            total += n
+            if total >= 1200:
+                block, total = block + 1, 0
+        last = block - 1 if block and total < 200 else block
+        want |= {(k, i): min(b, last) for i, b in mine}
+    got = passages.packed(spark.createDataFrame(rows, "k string, seq long, n_tokens long").repartition(3), ["k"], 1200, 200).collect()
+    assert {(r.k, r.seq): r.block for r in got} == want and len(got) == len(rows)
+
+
+def test_ids_are_percent_encoded(spark):
+    from urllib.parse import quote
+
+    parts = ["a b", "x*y~z", "q+r/s", "É:1", "plain-._"]
+    rows = spark.createDataFrame([(p,) for p in parts], "p string").select(witness.quoted(F.col("p")).alias("q"))
+    assert [r.q for r in rows.collect()] == [quote(p, safe="-.") for p in parts]
