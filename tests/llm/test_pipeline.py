@@ -5,7 +5,7 @@ import corpus_pipeline as pipeline
 from inkspan.llm import mixing, tokens
 
 from .test_quality import brute
-from .test_simhash import brute_components, fingerprint
+from .test_similar import brute as brute_groups
 
 
 def passes(text):
@@ -38,7 +38,7 @@ def test_each_stage_equals_brute_force(spark, small, tmp_path):
 
     want = {i: t for i, t in rows.items() if passes(t)}
     got = out["quality_rules"].collect()
-    assert {r.doc_id: r.text for r in got} == want and len(got) == len(want)
+    assert {r.doc_id: r.text for r in got} == want and len(got) == len(want)  # the row without a key repeats one word
 
     by = defaultdict(list)
     for i, t in want.items():
@@ -47,12 +47,12 @@ def test_each_stage_equals_brute_force(spark, small, tmp_path):
     got = out["exact_dedup"].collect()
     assert {r.doc_id: r.text for r in got} == want and len(got) == len(want)
 
-    groups = brute_components({i: fingerprint(t) for i, t in want.items()})
+    groups = brute_groups(list(want.items()))
     want = {i: t for i, t in want.items() if groups[i] == i}
     got = out["near_dedup"].collect()
     assert {r.doc_id: r.text for r in got} == want and len(got) == len(want)
 
-    taken = {r.doc_id: r.copies for r in mixing.mix(out["near_dedup"]).collect() if r.copies}
+    taken = {r.doc_id: r.copies for r in mixing.mix(out["near_dedup"], weight=mixing.size_digits).collect() if r.copies}
     got = out["mixing"].collect()
     assert Counter(r.doc_id for r in got) == taken and all(r.text == want[r.doc_id] for r in got)
 
@@ -63,13 +63,26 @@ def test_each_stage_equals_brute_force(spark, small, tmp_path):
     assert lengths == {i: n * len(tokens.document_ids(want[i], vocabulary)) for i, n in taken.items()}
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_rows_that_share_a_key_are_told_apart(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in ("alpha", "beta", "gamma"))
+    rows = [(5, a), (5, b), (9, b), (7, c), (7, c), (None, a), (None, b + " end")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], SCHEMA)
+    assert pipeline.quality_stage(spark, docs, "").count() == 7
+    assert sorted((str(r.doc_id), r.text) for r in pipeline.exact_stage(spark, docs, "").collect()) == sorted([("5", a), ("9", b), ("7", c), ("None", b + " end")])
+    assert sorted((str(r.doc_id), r.text) for r in pipeline.near_stage(spark, docs, "").collect()) == sorted([("5", a), ("5", b), ("7", c)])
+
+
 def test_repeated_rows_are_not_multiplied(spark):
     rows = [(i, "words of text number " + " ".join(f"w{i}x{j}" for j in range(60)), "en", "ab"[i % 2], 1) for i in range(20)]
     docs = spark.createDataFrame(rows + rows[:4], "doc_id long, text string, lang string, source string, n_chars long")
     got = Counter(r.doc_id for r in pipeline.mixing_stage(spark, docs, "").collect())
-    most = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
-    twice = {r[0] for r in rows[:4]}
-    assert got == {i: n * (2 if i in twice else 1) for i, n in most.items() if n}
+    want = Counter()
+    for r in mixing.mix(docs, weight=mixing.size_digits).collect():
+        want[r.doc_id] += r.copies
+    assert got == {i: n for i, n in want.items() if n} and max(got.values()) <= 6
 
 
 def test_run_equals_its_stages_and_takes_empty_tables(spark, small, tmp_path, no_docs):
