@@ -1,31 +1,34 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
-Expressions are the words of a text and, for words too rare to say anything, their
-first STEM letters.  As in any backoff, a stem's counts come from the words that
-the level above leaves to it, and from no others.  A class's Kneser-Ney count of an expression is
-the number of different words it follows in that class's labelled texts, so
-copied texts add nothing.  With c(x) that count, n its sum over all expressions
-and v their number,
-
-    P(x | class) = max(c(x) - D, 0) / n + D v / n * P(x | both classes)
-
-where the shared backoff counts both classes.  An expression whose rates in the
-classes don't differ clearly (G2 and ratio) is left to the shared counts in both
-models and so adds nothing to the comparison; then its stem is looked at.
-
-A text's evidence is its log-likelihood under the toxic model less that under the
-ordinary one, over its number of words.  A logistic curve of asinh(evidence /
-UNIT), fitted on labelled texts that the models haven't counted, turns it into a
-score: near 0, where long texts with few such expressions lie, asinh is fine, and
-far from 0 it is coarse as a logarithm.
-
-Learning is bounded: at most about TOXIC_TEXTS and ORDINARY_TEXTS labelled texts
-(chosen by a hash of their key), and the EXPRESSIONS with the largest G2.  Every
-text is scored whole.
-
-Defined results: null, empty and blank texts have no evidence and get the curve's
-value at 0; without labels of both classes all scores are 0; labels with a null
-key or class are ignored; an empty table gives an empty result.
+A class's Kneser-Ney count c(x) of a word is the number of different words that it
+follows in that class's labelled texts, so copied texts add nothing.  With n the sum
+of c over all words,
+
+    P(x | class) = max(c(x) - D, 0) / n + L * P(x | both classes)
+
+where L is what the discount takes, the sum of min(c, D) over n.  The shared level
+counts by the same rule: a word's count there is the number of classes that it is seen
+in, so a word of one class only can't lift the other class's probability of it.  D is
+over 1, since most words of a text are seen once or twice in all: those are left to
+the shared level in both models.  All words that are not over D in either class,
+unseen ones too, have the same ratio L(toxic) / L(ordinary), so that only the others
+need be kept; no word is left out of the comparison.
+
+A text's evidence is the log-likelihood under the toxic model less that under the
+ordinary one, per word, in those ``window`` consecutive words where it is largest
+(shorter texts: all their words).  Over a whole text the mean follows its language and
+topic more than a few expressions in it.  A logistic curve fitted on labelled texts
+that the models haven't counted turns the evidence into a score.
+
+Learning is bounded: at most about ``toxic_texts`` and ``ordinary_texts`` labelled
+texts (chosen by a hash of their key).  Every text is scored whole.
+
+Defined results: null, empty and blank texts, and those of punctuation only, have the
+evidence of unseen words; long texts count whole; rows that repeat a key or a text get
+the same score each; there are no ties to break; other columns are left out, whatever
+their names; without labels of both classes all scores are 0; labels with a null key
+or class are ignored, and of several labels of a key the toxic one counts; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,12 +44,8 @@ from pyspark.sql import functions as F
 
 TOXIC_TEXTS = 1500
 ORDINARY_TEXTS = 4500
-EXPRESSIONS = 50_000
-STEM = 4
-DISCOUNT = 0.75
-LEAST_G2 = 30.0
-LEAST_RATIO = 4.0
-UNIT = 0.01
+DISCOUNT = 3
+WINDOW = 4
 EDGES = ".,;:!?\"'()[]{}#*$%&|<>-"
 
 
@@ -58,27 +57,26 @@ def words_of(text: str | None) -> list[str]:
 @dataclass(frozen=True)
 class Model:
     words: dict[str, float]  # log P(x | toxic) - log P(x | ordinary)
-    stems: dict[str, float]
+    other: float = 0.0  # that of all other words
+    window: int = WINDOW
     slope: float = 0.0
     shift: float = -math.inf
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         if self.shift == -math.inf:
             return np.zeros(len(evidence))
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.arcsinh(evidence / UNIT) + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.shift, -30, 30)))
 
 
 class _Ratios(dict):
-    """Log ratio of a raw token; remembers those seen, up to a bound."""
+    """Log ratio of a raw token, nan if it isn't a word; remembers those seen, up to a bound."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
 
     def __missing__(self, token: str) -> float:
         word = token.strip(EDGES)
-        r = self.model.words.get(word)
-        if r is None:
-            r = self.model.stems.get(word[:STEM], 0.0)
+        r = self.model.words.get(word, self.model.other) if word else math.nan
         if len(self) > 400_000:
             self.clear()
         self[token] = r
@@ -86,15 +84,13 @@ class _Ratios(dict):
 
 
 def evidence_of(text: str | None, ratios: _Ratios) -> float:
-    tokens = text.lower().split() if text else []
-    return math.fsum(map(ratios.__getitem__, tokens)) / len(tokens) if tokens else 0.0
-
-
-def g2(a: Column, b: Column, n_a: float, n_b: float) -> Column:
-    """Log-likelihood ratio of counts a of n_a and b of n_b against one rate."""
-    both, whole = a + b, n_a + n_b
-    part = lambda x, n: F.when(x > 0, x * F.log(x * whole / (both * n))).otherwise(0.0)
-    return 2 * (part(a, n_a) + part(b, n_b))
+    """The largest mean ratio of ``window`` consecutive words."""
+    r = np.array(list(map(ratios.__getitem__, text.lower().split() if text else [])), float)
+    r = r[~np.isnan(r)]
+    if not len(r):
+        return ratios.model.other
+    n = min(ratios.model.window, len(r))
+    return float(np.convolve(r, np.ones(n), "valid").max()) / n
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,61 +112,58 @@ def _rows(rows: set[tuple[str, int, str]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["x", "toxic", "before"])
 
 
-def _ratios(met: DataFrame) -> dict[str, float]:
-    """Log ratios of the expressions whose rates differ clearly.  met: (x, toxic,
-    before), each once."""
+def ratios_of(met: DataFrame, discount: float = DISCOUNT) -> tuple[dict[str, float], float]:
+    """Log ratios of the words over the discount in either class, and that of all
+    others.  met: (x, toxic, before), each once."""
     by = met.groupBy("x").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).persist()
     try:
-        t = by.agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count_if(F.col("a") > 0).alias("va"), F.count_if(F.col("b") > 0).alias("vb")).first()
+        left = [F.sum(F.least(F.col(c), F.lit(discount))).alias(f"left_{c}") for c in "ab"]
+        seen = F.sum((F.col("a") > 0).cast("long") + (F.col("b") > 0).cast("long")).alias("seen")
+        t = by.agg(F.sum("a").alias("a"), F.sum("b").alias("b"), *left, seen).first()
         if not t["a"] or not t["b"]:
-            return {}
-        clear = by.withColumn("g2", g2(F.col("a"), F.col("b"), t["a"], t["b"])).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "x").limit(EXPRESSIONS).collect()
+            return {}, 0.0
+        over = by.where(F.greatest("a", "b") > discount).collect()  # of a bounded number of texts
     finally:
         by.unpersist()
+    rest = [t["left_a"] / t["a"], t["left_b"] / t["b"]]
     out = {}
-    for r in clear:
-        shared = (r["a"] + r["b"]) / (t["a"] + t["b"])
-        p = [max(c - DISCOUNT, 0) / n + DISCOUNT * v / n * shared for c, n, v in ((r["a"], t["a"], t["va"]), (r["b"], t["b"], t["vb"]))]
-        if abs(ratio := math.log(p[0] / p[1])) >= math.log(LEAST_RATIO):
-            out[r["x"]] = ratio
-    return out
+    for r in over:
+        shared = ((r["a"] > 0) + (r["b"] > 0)) / t["seen"]
+        p = [max(r[c] - discount, 0) / t[c] + share * shared for c, share in zip("ab", rest, strict=True)]
+        out[r["x"]] = math.log(p[0] / p[1])
+    return out, math.log(rest[0] / rest[1])
 
 
-def _share(counts: dict[int, int]) -> Column:
+def _share(counts: dict[int, int], bounds: dict[int, int]) -> Column:
     """The share of each class's labelled texts to learn from."""
-    out = F.lit(0.0)
-    for toxic, most in ((1, TOXIC_TEXTS), (0, ORDINARY_TEXTS)):
-        out = F.when(F.col("toxic") == toxic, F.lit(min(1.0, most / max(1, counts.get(toxic, 0))))).otherwise(out)
-    return out
+    toxic, ordinary = (F.lit(min(1.0, bounds[c] / max(1, counts.get(c, 0)))) for c in (1, 0))
+    return F.when(F.col("toxic") == 1, toxic).otherwise(ordinary)
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", toxic_texts: int = TOXIC_TEXTS, ordinary_texts: int = ORDINARY_TEXTS, discount: float = DISCOUNT, window: int = WINDOW) -> Model:
     """The models and the curve from labelled rows."""
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("toxic")).where("k is not null and toxic in (0, 1)").groupBy("k").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
-        return Model({}, {})
-    drawn = F.pmod(F.xxhash64(F.lit("draw"), "k"), F.lit(1_000_000)) < _share(counts) * 1_000_000
-    chosen = known.where(drawn).withColumn("curve", F.pmod(F.xxhash64(F.lit("curve"), "k"), F.lit(4)) == 0)
-    # about TOXIC_TEXTS + ORDINARY_TEXTS short rows, whatever the table's size
-    sample = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select("text", "toxic", "curve").persist()
+        return Model({})
+    share = _share(counts, {1: toxic_texts, 0: ordinary_texts})
+    drawn = F.pmod(F.xxhash64(F.lit("draw"), "k"), F.lit(1_000_000)) < share * 1_000_000
+    chosen = known.where(drawn).withColumn("curve", F.pmod(F.xxhash64(F.lit("curve"), "k"), F.lit(4)) == 0).withColumn("weight", 1 / share)
+    # about toxic_texts + ordinary_texts short rows, whatever the table's size
+    sample = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select("text", "toxic", "curve", "weight").persist()
     try:
-        met = sample.where("not curve").select("text", "toxic").mapInArrow(_contexts, "x string, toxic int, before string").distinct().persist()
-        words = _ratios(met)
-        own = docs.sparkSession.createDataFrame([(w,) for w in sorted(words)], "x string")
-        rest = met.join(F.broadcast(own), "x", "left_anti")  # EXPRESSIONS rows at most
-        stems = _ratios(rest.select(F.substring("x", 1, STEM).alias("x"), "toxic", "before").distinct())
-        met.unpersist()
-        model = Model(words, stems)
-        curve = sample.where("curve").select("text", "toxic").mapInArrow(_evidence(model), "toxic int, evidence double").collect()
+        met = sample.where("not curve").select("text", "toxic").mapInArrow(_contexts, "x string, toxic int, before string").distinct()
+        words, other = ratios_of(met, discount)
+        model = Model(words, other, window)
+        curve = sample.where("curve").select("text", "toxic", "weight").mapInArrow(_evidence(model), "toxic int, evidence double, weight double").collect()
     finally:
         sample.unpersist()
-    slope, shift = logistic(np.arcsinh(np.array([r["evidence"] for r in curve]) / UNIT), np.array([r["toxic"] for r in curve], float))
-    return Model(model.words, model.stems, slope, shift)
+    slope, shift = logistic(*(np.array([r[c] for r in curve], float) for c in ("evidence", "toxic", "weight")))
+    return Model(words, other, window, slope, shift)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and shift by Newton's method; the ridge bounds a separable fit."""
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """Slope and shift by Newton's method, rows weighing w; the ridge bounds a separable fit."""
     if len(set(y.tolist())) < 2:
         return 1.0, -1.0
     scale = max(float(np.abs(x).max()), 1e-9)
@@ -178,7 +171,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     beta, keep = np.zeros(2), np.array([ridge, ridge])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + np.diag(keep), design.T @ (y - p) - keep * beta)
+        step = np.linalg.solve((design * (w * p * (1 - p))[:, None]).T @ design + np.diag(keep), design.T @ (w * (y - p)) - keep * beta)
         beta += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
@@ -189,7 +182,7 @@ def _evidence(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratios = _Ratios(model)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([evidence_of(t.as_py(), ratios) for t in b.column(0)], pa.float64())], ["toxic", "evidence"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([evidence_of(t.as_py(), ratios) for t in b.column(0)], pa.float64()), b.column(2)], ["toxic", "evidence", "weight"])
 
     return run
 

@@ -37,12 +37,52 @@ def test_labels_of_held_out_rows_change_nothing(spark):
     assert a == b
 
 
-def test_smoothed_ratios():
-    m = toxicity.Model({"vile": 3.0}, {"grub": 2.0}, 1.0, -float(np.arcsinh(0.1 / toxicity.UNIT)))
+def brute_log_likelihoods(texts, discount):
+    """P(word | class) of every word, straight from the definition."""
+    follows = {0: {}, 1: {}}
+    for text, toxic in texts:
+        before = ""
+        for w in toxicity.words_of(text):
+            follows[toxic].setdefault(w, set()).add(before)
+            before = w
+    count = {c: {w: len(s) for w, s in follows[c].items()} for c in (0, 1)}
+    n = {c: sum(count[c].values()) for c in (0, 1)}
+    share = {c: sum(min(k, discount) for k in count[c].values()) / n[c] for c in (0, 1)}
+    classes = {w: sum(w in count[c] for c in (0, 1)) for w in {**count[0], **count[1]}}
+    whole = sum(classes.values())
+    return {c: {w: max(count[c].get(w, 0) - discount, 0) / n[c] + share[c] * classes[w] / whole for w in classes} for c in (0, 1)}, share
+
+
+def test_log_likelihoods_against_brute_force(spark):
+    docs, _, truth = corpus(spark, 150)
+    texts = [(r.text, truth[r.doc_id]) for r in docs.collect()]
+    frame = spark.createDataFrame(texts + texts[:20], "text string, toxic int")
+    met = frame.mapInArrow(toxicity._contexts, "x string, toxic int, before string").distinct()
+    for discount in (1, 3):
+        got, other = toxicity.ratios_of(met, discount)
+        p, share = brute_log_likelihoods(texts, discount)
+        assert all(abs(sum(x.values()) - 1) < 1e-9 for x in p.values())
+        assert abs(other - np.log(share[1] / share[0])) < 1e-9
+        assert all(abs(got.get(w, other) - np.log(p[1][w] / p[0][w])) < 1e-9 for w in p[0])
+
+
+def test_evidence_is_that_of_the_worst_window():
+    m = toxicity.Model({"vile": 3.0, "calm": -1.0}, 0.5, 2, 1.0, -1.0)
     r = toxicity._Ratios(m)
-    assert toxicity.evidence_of("VILE, grubs plain plain", r) == 1.25
-    assert toxicity.evidence_of(None, r) == toxicity.evidence_of(" ", r) == 0.0
-    assert m.score(np.array([0.1]))[0] == 0.5
+    assert toxicity.evidence_of("VILE, -- calm plain plain", r) == 1.0
+    assert toxicity.evidence_of("calm " * 50_000 + "plain vile", r) == 1.75
+    assert toxicity.evidence_of("vile", r) == 3.0
+    assert toxicity.evidence_of(None, r) == toxicity.evidence_of(" ", r) == toxicity.evidence_of("?!", r) == 0.5
+    assert m.score(np.array([1.0]))[0] == 0.5
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    docs, labels, _ = corpus(spark, 200)
+    wide = docs.union(docs).select("*", *(F.lit(9).alias(c) for c in ("key", "k", "toxic", "evidence", "score", "held_out", "curve", "weight")))
+    got = toxicity.op8(wide, labels).collect()
+    assert len(got) == 400 and len({(r.doc_id, r.score) for r in got}) == 200
 
 
 def test_edges(spark, edge_docs, no_docs):
