@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, licenses, mixing, packing, quality, simhash, token_output, toxicity, warc
+from . import chat, collocations, exact_dedup, langid, licenses, mixing, packing, quality, repair, simhash, sql, token_output, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,9 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": lambda spark, sf_dir: toxicity.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_warc": _over("pages", warc.op9),
     "op10_language_id": _over("documents", langid.op10),
+    "op11_conversation_repair": _over("conversations", repair.op11),
+    "op12_chat_formatting": _over("conversations", chat.op12),
+    "op13_collocations": _over("documents", collocations.op13),
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -121,6 +124,9 @@ SELECT doc_id, size, source_size, target,
 FROM x
 """,
     "op2_license_scan": _license_sql(),
+    "op11_conversation_repair": sql.REPAIR,
+    "op12_chat_formatting": sql.CHAT,
+    "op13_collocations": sql.COLLOCATIONS,
     "op9_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 g AS (SELECT html, max(page_id) AS first FROM p GROUP BY html),
