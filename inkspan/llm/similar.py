@@ -41,6 +41,7 @@ has a null name; other columns are left out by ``near_dedup`` and kept by
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from fractions import Fraction
 from itertools import combinations
@@ -53,6 +54,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, digest_of
 from .components import components
+from .exact_dedup import _disk
 from .simhash import SEED, golay_keys, shingle_hashes
 
 SEGMENTS = 5
@@ -64,6 +66,8 @@ CELL = 4096
 JUMPS = 3
 #: Buckets up to this size are looked through for pairs beyond the first tries.
 SMALL = 64
+#: Rows of a bucket that are looked through at once; larger buckets are cut into parts.
+PART = 100_000
 _LONGS = PARITIES // 64
 
 
@@ -180,15 +184,33 @@ class Rule:
         return self.sizes(n, m) & (apart * (self.down + self.up) <= (n + m) * (self.down - self.up))
 
 
-def _search(rule: Rule, rep, label, f, g) -> list[tuple[int, int]]:
-    """Near pairs of one bucket, enough of them to join what near pairs can join."""
-    parent: dict[int, int] = {}
+class _Joined:
+    """Labels that tries have joined so far."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
 
-    def top(x: int) -> int:
+    def top(self, x: int) -> int:
+        parent = self.parent
         while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
             x = up
         return x
 
+    def tops(self, label: np.ndarray) -> np.ndarray:
+        each, at = np.unique(label, return_inverse=True)
+        return np.array([self.top(x) for x in each.tolist()], np.int64)[at]
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.top(a), self.top(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _search(rule: Rule, rep, label, f, g, joined: _Joined | None = None) -> list[tuple[int, int]]:
+    """Near pairs of one bucket, enough of them to join what near pairs can join."""
+    joined = _Joined() if joined is None else joined
     out, left, queue = [], np.arange(len(rep)), []
     while len(left):
         if not queue:
@@ -197,15 +219,49 @@ def _search(rule: Rule, rep, label, f, g) -> list[tuple[int, int]]:
         i = queue.pop()
         hit = rule.near(f, g, np.full(len(left), i), left)
         for j in left[hit].tolist():
-            a, b = top(int(label[i])), top(int(label[j]))
-            if a != b:
-                parent[a] = b
+            if joined.join(int(label[i]), int(label[j])):
                 out.append((max(int(rep[i]), int(rep[j])), min(int(rep[i]), int(rep[j]))))
         queue += left[hit].tolist()
         left = left[~hit]
     return out
 
 
+def _between(rule: Rule, earlier: list[np.ndarray], later: list[np.ndarray], joined: _Joined) -> list[tuple[int, int]]:
+    """Near pairs of two parts of a bucket, enough to join what they can join.  Only
+    rows that aren't joined yet are compared, so a large group of near rows costs no
+    more than its size."""
+    rep, label, f, g = (np.concatenate(x) for x in zip(earlier, later, strict=True))
+    n, out = len(earlier[0]), []
+    for c in np.unique(joined.tops(later[1])).tolist():
+        tops = joined.tops(label)
+        own, other = n + np.flatnonzero(tops[n:] == joined.top(c)), np.flatnonzero(tops[:n] != joined.top(c))
+        few, many = (own, other) if len(own) < len(other) else (other, own)
+        for i in few.tolist():
+            for j in many[rule.near(f, g, np.full(len(many), i), many)].tolist():
+                if joined.join(int(label[i]), int(label[j])):
+                    out.append((max(int(rep[i]), int(rep[j])), min(int(rep[i]), int(rep[j]))))
+    return out
+
+
+class _LargeBucket:
+    """A bucket that is larger than one part: its parts, on the task's own disk, each
+    searched through and compared with all earlier ones."""
+
+    def __init__(self, rule: Rule) -> None:
+        self.rule, self.joined, self.sizes = rule, _Joined(), []
+        self.file = tempfile.TemporaryFile(prefix="bucket-", dir=_disk())
+
+    def add(self, part: list[np.ndarray]) -> list[tuple[int, int]]:
+        out = _search(self.rule, *part, self.joined)
+        self.file.seek(0)
+        for size in self.sizes:
+            earlier = list(np.frombuffer(self.file.read(4 * 8 * size), np.int64).reshape(4, size))
+            out += _between(self.rule, earlier, part, self.joined)
+        self.file.write(np.stack(part).astype(np.int64).tobytes())
+        self.sizes.append(len(part[0]))
+        return out
+
+
 def _tries(rule: Rule):
     """Rows sorted by key to near pairs (src, dst) of different labels."""
 
@@ -236,22 +292,35 @@ def _tries(rule: Rule):
         both = np.unique(np.concatenate(found, axis=1), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["src", "dst"])
 
+    def pairs(found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        if found:
+            src, dst = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, large, key = None, None, None  # rows of the last key; if it is a large one, what went before them
         for b in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             rows = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             if not len(rows[0]):
                 continue
+            if large is not None and rows[0][-1] != key:
+                end = int(np.searchsorted(rows[0], key, side="right"))
+                yield from pairs(large.add([x[:end] for x in rows[1:]]))
+                large, rows = None, [x[end:] for x in rows]
             last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key may go on
             if last:
                 yield from of(*(x[:last] for x in rows))
             held = [x[last:] for x in rows]
-            if len(held[0]) > 100_000:  # a very large bucket goes on from its first row
-                yield from of(*held)
-                held = [x[:1] for x in held]
+            if len(held[0]) >= PART:
+                large, key = _LargeBucket(rule) if large is None else large, held[0][0]
+                yield from pairs(large.add(held[1:]))
+                held = [x[:0] for x in held]
         if held is not None and len(held[0]):
-            yield from of(*held)
+            if large is None:
+                yield from of(*held)
+            else:
+                yield from pairs(large.add(held[1:]))
 
     return run
 

@@ -1,6 +1,9 @@
 import random
+import time
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 
 from inkspan.llm import similar
 
@@ -72,5 +75,58 @@ def test_popcounts_of_parities_bound_the_difference():
         assert int(np.bitwise_count(p ^ q).sum()) <= len(a ^ b)
 
 
+def bucket_of(rows, cuts=1):
+    """Rows (key, rep, label, f, g) as batches."""
+    for part in np.array_split(np.array(rows, np.int64), cuts):
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in part.T], ["gkey", "rep", "label", "f", "g"])
+
+
+def joined(rule, rows, cuts=1):
+    found = [(a, b) for batch in similar._tries(rule)(bucket_of(rows, cuts)) for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    root = {r[1]: r[1] for r in rows}
+
+    def top(x):
+        return x if root[x] == x else top(root[x])
+
+    for a, b in found:
+        root[top(a)] = top(b)
+    return {r[1]: min(q[1] for q in rows if top(q[1]) == top(r[1])) for r in rows}, found
+
+
+def test_buckets_larger_than_a_part_lose_no_link(monkeypatch):
+    rng = random.Random(6)
+    rule = similar.Rule(Fraction("0.8"), similar.DISTANCE)
+    far = (1 << 58) - 1  # differs from 0 in 58 bits
+    first_far = [(1, 0, 0, far, 0)] + [(1, i, i, 0, 0) for i in range(1, 250)]
+    chain = [(1, i, i, (1 << (i * 20 % 58)) - 1 if i % 7 else rng.getrandbits(58), (1 << (i % 58)) - 1) for i in range(300)]
+    several = [(k, 1000 * k + i, 1000 * k + i, (far if (i + k) % 3 == 0 else 0) ^ (1 << rng.randrange(50)), 0) for k in (1, 2, 3) for i in range(120)]
+    for rows in (first_far, chain, several):
+        monkeypatch.setattr(similar, "PART", 100_000)
+        whole, _ = joined(rule, rows)
+        for part, cuts in ((40, 1), (40, 9), (7, 5), (1000, 30)):
+            monkeypatch.setattr(similar, "PART", part)
+            assert joined(rule, rows, cuts)[0] == whole
+    near = {r[1]: {q[1] for q in chain if (r[3] ^ q[3]).bit_count() + (r[4] ^ q[4]).bit_count() <= similar.DISTANCE} for r in chain}
+    monkeypatch.setattr(similar, "PART", 30)
+    got, _ = joined(rule, chain, 4)
+    assert all(got[a] == got[b] for a, others in near.items() for b in others)
+
+
+def test_a_bucket_of_equal_rows_is_linear():
+    rule = similar.Rule(Fraction("0.8"), similar.DISTANCE)
+    began = time.perf_counter()
+    n = 40_000
+    ids = np.arange(n, dtype=np.int64)
+    assert len(similar._search(rule, ids, ids, np.zeros(n, np.int64), np.zeros(n, np.int64))) == n - 1
+    assert time.perf_counter() - began < 20
+
+
+def test_components_above_a_cell(spark, monkeypatch):
+    monkeypatch.setattr(similar, "CELL", 8)
+    rows = drifting(4)
+    got = similar.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute(rows)
+
+
 def test_empty_table(no_docs):
     assert similar.near_dedup(no_docs).count() == 0
