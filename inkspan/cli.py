@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from inkspan.operators import evaluate, supervised
 from inkspan.operators.discovery import Config
 from inkspan.plans.analyze import analyze
-from inkspan.sources import importers, sinks, units
+from inkspan.sources import importers, manifest, sinks, units
 
 
 def parser() -> argparse.ArgumentParser:
@@ -51,8 +51,12 @@ def main(argv: list[str] | None = None) -> int:
             units.write_corpus(corpus, f"{a.out}/corpus")
             report.write.mode("overwrite").json(f"{a.out}/sources")
             chosen.write.mode("overwrite").json(f"{a.out}/witnesses")
+            account = {"sources": [r.asDict() for r in report.orderBy("source_dir").collect()]}  # a row a source
+            manifest.write_account(spark, f"{a.out}/corpus_account", account, units.load_corpus(spark, f"{a.out}/corpus"))
         if a.command == "analyze":
             corpus = units.load_corpus(spark, a.source)
+            if manifest.read_account(spark, f"{a.source.rstrip('/').rsplit('/', 1)[0]}/corpus_account", corpus) is None:
+                print("note: no account of this corpus; it was built elsewhere or changed since", file=sys.stderr)
         if a.command in ("analyze", "run"):
             sinks.write_report(analyze(_selected(corpus, a.language), config), f"{a.out}/report")
         if a.command == "evaluate":

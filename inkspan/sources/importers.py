@@ -145,6 +145,35 @@ def parse_reports(name: str, content: bytes) -> Iterator[dict]:
             yield {"language": "arb", "collection": "Bukhari" if code.startswith("BUKH") else "Hadith Qudsi", "book": code, "book_title": f"Book {number}" if number else "Unassigned", "chapter": "1", "verse": f"{r['hadithnumber']:g}", "text": text, "source": "hadith"}
 
 
+def morphology_codes(name: str, content: bytes) -> Iterator[dict]:
+    """(book, chapter, verse, pos, morph) of the words of OSIS XML, without notes."""
+    for _, e in ET.iterparse(io.BytesIO(content)):
+        if e.tag.rsplit("}", 1)[-1] != "verse" or not e.get("osisID"):
+            continue
+        todo, pos = [e], 0
+        while todo:
+            node = todo.pop()
+            kind = node.tag.rsplit("}", 1)[-1]
+            if kind == "w":
+                book, chapter, verse = (e.get("osisID").split(".") + ["1", "1"])[:3]
+                yield {"book": book.upper(), "chapter": chapter, "verse": verse, "pos": pos, "morph": node.get("morph")}
+                pos += 1
+            elif kind != "note":
+                todo += reversed(node)
+        e.clear()
+
+
+def morphology(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(book, chapter, verse, pos, morph) of OSIS files; see operators.morphology."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                yield pd.DataFrame(list(morphology_codes(path, content)), columns=["book", "chapter", "verse", "pos", "morph"])
+
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "book string, chapter string, verse string, pos int, morph string")
+
+
 def parse_osis(name: str, content: bytes) -> Iterator[dict]:
     """Verses of OSIS XML: words in order without those of notes, joined by a
     maqaf without a space."""

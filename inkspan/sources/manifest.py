@@ -1,7 +1,12 @@
-"""Checksums of raw files and coverage of witnesses."""
+"""Checksums of raw files and of a corpus, and coverage of witnesses."""
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,3 +28,35 @@ def missing_sources(table: DataFrame, required: list[str]) -> list[str]:
     """Required sources without a unit; the list is as short as ``required``."""
     present = {r["source"] for r in table.where(F.col("source").isin(required)).select("source").distinct().collect()}
     return sorted(set(required) - present)
+
+
+def corpus_fingerprint(units: DataFrame) -> str:
+    """SHA-256 over every unit's id and text, each ended by a zero byte, in order of
+    ``seq``, then id.  Rows are sorted by ranges side by side; the digest, one sequence by
+    nature, reads the sorted ranges one after the other and holds a batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = hashlib.sha256()
+        for b in batches:
+            digest.update("".join(f"{i}\0{t or ''}\0" for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)).encode())
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], names=["sha256"])
+
+    ordered = units.select("seq", "id", "text").repartitionByRange("seq", "id").sortWithinPartitions("seq", "id").select("id", "text")
+    row = ordered.coalesce(1).mapInArrow(run, "sha256 string").first()
+    return row[0] if row else hashlib.sha256().hexdigest()
+
+
+def write_account(spark: SparkSession, path: str, account: dict, units: DataFrame) -> dict:
+    """The account of a build with the fingerprint of what it built, as JSON."""
+    whole = account | {"corpus_sha256": corpus_fingerprint(units)}
+    spark.createDataFrame([(json.dumps(whole, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return whole
+
+
+def read_account(spark: SparkSession, path: str, units: DataFrame) -> dict | None:
+    """The account at a path if it is that of these units, else None."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return None
+    account = json.loads(spark.read.text(path).first()[0])
+    return account if account.get("corpus_sha256") == corpus_fingerprint(units) else None
