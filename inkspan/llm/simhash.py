@@ -14,7 +14,7 @@ meets for some segment.
 
 Join and verify.  Equal keys are brought together, and the pairs of a bucket are
 verified by their exact Hamming distance.  Only distinct fingerprints take part,
-each represented by its smallest key, so exact copies never meet.
+each with a number of its own, so exact copies never meet.
 
 Large buckets.  No pairs are formed in a bucket of more than BUCKET fingerprints.
 Its members are linked exactly another way: each one is listed under itself and
@@ -25,9 +25,11 @@ the smallest under the word gives the same components, in linear work.
 Components come from large-star/small-star rounds, which stay distributed.
 
 Defined results: null, empty and blank texts have fingerprint zero and are
-linked like any other; fewer words than a shingle has form one shingle; equal
-fingerprints are linked; the component is the smallest key reachable; an empty
-table gives an empty result.
+linked like any other; fewer words than a shingle has form one shingle; long texts
+count whole; equal fingerprints are linked, so repeated rows are; the component is the
+smallest key reachable, also through rows without a key, which are never the smallest,
+and null where there is no other; other columns are ignored, whatever their names; an
+empty table gives an empty result.  Keys are numbers.
 """
 
 from __future__ import annotations
@@ -286,9 +288,12 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3, bucket: int = BUCKET) -> DataFrame:
     """Each row's key with fingerprint (16 hex digits) and component_id."""
     fps = cut(fingerprints(docs, text, key, size))
-    distinct = cut(fps.groupBy("fp").agg(F.min("key").alias("rep")))
-    found = components(links(distinct.where("rep is not null"), bucket))
-    named = distinct.join(found.select(F.col("src").alias("rep"), F.col("dst").alias("root")), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    # fingerprints are numbered, not named by keys: some may have null keys only
+    distinct = cut(fps.groupBy("fp").agg(F.min("key").alias("least")).withColumn("rep", F.monotonically_increasing_id()))
+    found = components(links(distinct, bucket))
+    rooted = distinct.join(found.select(F.col("src").alias("rep"), F.col("dst").alias("root")), "rep", "left").select("fp", "least", F.coalesce("root", "rep").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(names, "root").select("fp", "component_id")
     return fps.join(named, "fp", "left").select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
