@@ -46,6 +46,8 @@ LONGEST = 5
 FILTER_BITS = 23
 #: Bytes of pieces whose phrases a task adds up at a time, and what DuckDB may take.
 CHUNK_BYTES, MEMORY = 8 << 20, "192MB"
+#: Languages up to which their totals are broadcast.
+MOST_BROADCAST = 10_000
 COUNTS = "lang string, words int, phrase string, f long"
 _MASK = (1 << FILTER_BITS) - 1
 
@@ -222,6 +224,8 @@ def scored(counts: DataFrame, totals: DataFrame) -> DataFrame:
     sides = F.array(F.struct(F.lit(True).alias("left"), part(F.lit(1), F.col("k")).alias("part")), F.struct(F.lit(False).alias("left"), part(F.col("k") + 1, F.col("words") - F.col("k")).alias("part")))
     requests = cuts.select("lang", "phrase", "words", "a", "k", F.explode(sides).alias("s")).select("lang", "phrase", "words", "a", "k", "s.left", "s.part")
     answers = requests.join(counts.select("lang", F.col("phrase").alias("part"), "f"), ["lang", "part"])
+    # few languages go to every task; should there be many, none is hot
+    totals = F.broadcast(totals) if totals.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else totals
     sided = answers.groupBy("lang", "phrase", "a", "k").agg(F.max(F.when(F.col("left"), F.col("f"))).alias("l"), F.max(F.when(~F.col("left"), F.col("f"))).alias("r")).join(totals, "lang")
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     top = F.lit(1000).cast("decimal(4,0)") * wide("a") * wide("n")

@@ -85,7 +85,7 @@ def test_large_buckets_equal_brute_force(spark):
 
 def test_rows_without_a_key_still_link(spark, monkeypatch):
     """A chain of fingerprints two bits apart whose middle has no key."""
-    chain = [(1, 0b0), (None, 0b11), (3, 0b1111), (None, 0b1111), (None, 1 << 40), (8, 1 << 60), (8, 1 << 60)]
+    chain = [(1, 0b0), (None, 0b11), (3, 0b1111), (None, 0b1111), (None, 0xFF << 40), (8, 0xFF << 50), (8, 0xFF << 50)]
     monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs.select("key", "fp"))
     got = simhash.near_dedup(spark.createDataFrame(chain, "key long, fp long").repartition(3)).collect()
     assert sorted(((r.doc_id or 0, r.component_id) for r in got), key=str) == sorted([(1, 1), (0, 1), (3, 1), (0, 1), (0, None), (8, 8), (8, 8)], key=str)
