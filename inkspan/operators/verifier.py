@@ -86,16 +86,16 @@ def pair_vectors(pairs: DataFrame, described: DataFrame) -> DataFrame:
     return known.select(*pairs.columns, F.concat("apart", F.array(cosine, rms, "gram_cosine")).alias("features"))
 
 
-def fit_logistic(rows: DataFrame, features: str, label: str, weight: str, strength: float = 1.0) -> tuple[list[float], float]:
+def fit_logistic(rows: DataFrame, features: str, label: str, weight: str, strength: float = 1.0, tol: float = 1e-8) -> tuple[list[float], float]:
     """Weights and bias that minimise the weighted logistic loss plus half the squared
     length of the weights over ``strength``; the bias isn't held back."""
     total = rows.agg(F.sum(weight)).first()[0]
     data = rows.select(array_to_vector(F.col(features)).alias("x"), F.col(label).cast("double").alias("y"), F.col(weight).alias("w"))
-    fit = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1 / (strength * total), elasticNetParam=0.0, standardization=False, maxIter=2000, tol=1e-10, family="binomial").fit(data)
+    fit = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1 / (strength * total), elasticNetParam=0.0, standardization=False, maxIter=2000, tol=tol, family="binomial").fit(data)
     return [float(v) for v in fit.coefficients], float(fit.intercept)
 
 
-def fit(passages: DataFrame, words: list[str], suffixes: list[str], most_pairs: int = 8, most_grams: int = 10_000, seed: int = 42, offered: int = 8) -> PairModel:
+def fit(passages: DataFrame, words: list[str], suffixes: list[str], most_pairs: int = 8, most_grams: int = 10_000, seed: int = 42, offered: int = 8, tol: float = 1e-8) -> PairModel:
     """A verifier from training passages of one language.
 
     Refuses passages that aren't independent evidence, and needs pairs of one author
@@ -114,7 +114,7 @@ def fit(passages: DataFrame, words: list[str], suffixes: list[str], most_pairs:
     try:
         pair_scale = lexical.scale_of(rows, "features", "weight")
         fitted = rows.select(lexical.scaled(F.col("features"), *pair_scale).alias("features"), "same_author", "weight")
-        weights, bias = fit_logistic(fitted, "features", "same_author", "weight")
+        weights, bias = fit_logistic(fitted, "features", "same_author", "weight", tol=tol)
     finally:
         rows.unpersist()
     return PairModel(language[0], words, suffixes, static_scale, space, pair_scale, weights, bias)

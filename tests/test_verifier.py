@@ -89,7 +89,7 @@ def plain_fit(rows):
 def trained(spark):
     rows = fixture()
     passages = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    return rows, passages, verifier.fit(passages, WORDS, SUFFIXES)
+    return rows, passages, verifier.fit(passages, WORDS, SUFFIXES, tol=1e-11)
 
 
 def test_equals_a_plain_fit(trained):
