@@ -77,9 +77,9 @@ def within_between(distances: DataFrame, docs: DataFrame) -> DataFrame:
 
 def adjacency(texts: DataFrame, markers: list[str], window: int = 5) -> DataFrame:
     """Marker network (doc, src, dst, weight): a marker pair at distance d within
-    the window weighs 1/d.  texts: (doc, words array); pairs are made inside the row."""
-    both = F.filter(word_pairs(F.col("words"), window), lambda p: p["a"].isin(markers) & p["b"].isin(markers))
-    return texts.select("doc", F.explode(both).alias("p")).groupBy("doc", F.col("p.a").alias("src"), F.col("p.b").alias("dst")).agg(F.sum(1 / F.col("p.step")).alias("weight"))
+    the window weighs 1/d.  texts: (doc, words array); only markers' pairs are made."""
+    pairs = word_pairs(texts, ["doc"], window, markers)
+    return pairs.groupBy("doc", F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum(1 / F.col("step")).alias("weight"))
 
 
 def transitions(edges: DataFrame, docs: DataFrame, markers: list[str], smoothing: float = 0.01) -> DataFrame:

@@ -33,22 +33,29 @@ def char_ngrams(text: Column, n: int) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
-def word_pairs(words: Column, window: int) -> Column:
-    """Structs (a, b, step) of the ordered pairs of an array of words at most ``window``
-    apart, made inside the row."""
-    def at(step: int) -> Column:
-        last = F.size(words) - step
-        pairs = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(F.get(words, i - 1).alias("a"), F.get(words, i - 1 + step).alias("b"), F.lit(step).alias("step")))
-        return F.when(last >= 1, pairs).otherwise(F.array().cast("array<struct<a: string, b: string, step: int>>"))
+def followed(texts: DataFrame, keys: list[str], window: int) -> DataFrame:
+    """(keys, a, b1, b2, ...): each word with the ``window`` words after it, null beyond
+    the end.  texts: (keys, words array); the row's array is zipped with its own tails."""
+    tails = [F.slice("words", k + 1, F.greatest(F.size("words") - k, F.lit(0))) for k in range(1, window + 1)]
+    zipped = F.arrays_zip(F.col("words").alias("a"), *[t.alias(f"b{k}") for k, t in enumerate(tails, 1)])
+    return texts.select(*keys, F.explode(zipped).alias("z")).select(*keys, "z.*")
 
-    return F.concat(*[at(step) for step in range(1, window + 1)])
+
+def word_pairs(texts: DataFrame, keys: list[str], window: int, only: list[str] | None = None) -> DataFrame:
+    """(keys, a, b, step): ordered pairs of words at most ``window`` apart, or of the
+    listed words only."""
+    rows = followed(texts, keys, window)
+    rows = rows if only is None else rows.where(F.col("a").isin(only))
+    steps = F.array(*[F.struct(F.col(f"b{k}").alias("b"), F.lit(k).alias("step")) for k in range(1, window + 1)])
+    pairs = rows.select(*keys, "a", F.explode(steps).alias("p")).select(*keys, "a", "p.b", "p.step")
+    return pairs.where(F.col("b").isNotNull() if only is None else F.col("b").isin(only))
 
 
 def collocations(texts: DataFrame, keys: list[str], window: int = 3, least: int = 3) -> DataFrame:
     """Ordered pairs of words at most ``window`` apart, with their pointwise mutual
     information.  texts: (keys, words array); pairs are counted where they are made and
     shuffled once, as counts."""
-    pairs = texts.select(*keys, F.explode(word_pairs(F.col("words"), window)).alias("p")).groupBy(*keys, F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    pairs = word_pairs(texts, keys, window).groupBy(*keys, "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     single = word_counts(texts.select(*keys, F.explode("words").alias("word")), keys)
     total = single.groupBy(*keys).agg(F.sum("n").alias("total"))
     joined = pairs.join(single.select(*keys, F.col("word").alias("a"), F.col("n").alias("na")), [*keys, "a"]).join(single.select(*keys, F.col("word").alias("b"), F.col("n").alias("nb")), [*keys, "b"]).join(total, keys)
@@ -92,23 +99,28 @@ def mattr(words: DataFrame, keys: list[str], window: int = 100) -> DataFrame:
     return counted.groupBy(*keys).agg((F.sum(F.greatest(F.lit(0), high - low + 1)) / F.first((n - size + 1) * size)).alias("mattr"))
 
 
-def surface(text: Column) -> list[Column]:
-    """Seventeen measures of spelling and punctuation of a text."""
-    words = surface_words(text)
-    n = F.greatest(F.size(words), F.lit(1)).cast("double")
-    mean = F.aggregate(words, F.lit(0).cast("double"), lambda a, w: a + F.length(w)) / n
-    spread = F.sqrt(F.greatest(F.lit(0.0), F.aggregate(words, F.lit(0).cast("double"), lambda a, w: a + F.length(w) * F.length(w)) / n - mean * mean))
-    share = lambda test: F.size(F.filter(words, test)) / n
+def surface(text: Column) -> Column:
+    """Seventeen measures of spelling and punctuation of a text, as a struct.  The
+    text's words are an array that is made once, as the variable of a lambda."""
     found = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    sentences = F.greatest(F.lit(1), found(r"[.!?]+"))
-    out = [
-        ("mean_length", mean), ("sd_length", spread), ("short_share", share(lambda w: F.length(w) <= 3)), ("long_share", share(lambda w: F.length(w) >= 8)),
-        ("upper_share", share(lambda w: (w == F.upper(w)) & (w != F.lower(w)))), ("capital_share", share(lambda w: F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1)))),
-        ("type_token", F.size(F.array_distinct(F.transform(words, F.lower))) / n), ("words_a_sentence", F.size(words) / sentences),
-    ]
-    for name, pattern in (("comma", ","), ("semicolon", ";"), ("colon", ":"), ("exclamation", "!"), ("question", r"\?"), ("dash", "—"), ("bracket", r"\("), ("quote", '"'), ("apostrophe", "['’]")):
-        out.append((name, found(pattern) / n))
-    return [c.alias(name) for name, c in out]
+    marks = (("comma", ","), ("semicolon", ";"), ("colon", ":"), ("exclamation", "!"), ("question", r"\?"), ("dash", "—"), ("bracket", r"\("), ("quote", '"'), ("apostrophe", "['’]"))
+    outside = F.struct(surface_words(text).alias("words"), F.greatest(F.lit(1), found(r"[.!?]+")).alias("sentences"), *[found(p).alias(name) for name, p in marks])
+
+    def measured(x: Column) -> Column:
+        words = x["words"]
+        n = F.greatest(F.size(words), F.lit(1)).cast("double")
+        share = lambda test: F.size(F.filter(words, test)) / n
+        sums = F.aggregate(words, F.struct(F.lit(0).cast("double").alias("one"), F.lit(0).cast("double").alias("two")), lambda a, w: F.struct((a["one"] + F.length(w)).alias("one"), (a["two"] + F.length(w) * F.length(w)).alias("two")))
+        mean = sums["one"] / n
+        spread = F.sqrt(F.greatest(F.lit(0.0), sums["two"] / n - mean * mean))
+        capital = lambda w: F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1))
+        return F.struct(
+            mean.alias("mean_length"), spread.alias("sd_length"), share(lambda w: F.length(w) <= 3).alias("short_share"), share(lambda w: F.length(w) >= 8).alias("long_share"),
+            share(lambda w: (w == F.upper(w)) & (w != F.lower(w))).alias("upper_share"), share(capital).alias("capital_share"),
+            (F.size(F.array_distinct(F.transform(words, F.lower))) / n).alias("type_token"), (F.size(words) / x["sentences"]).alias("words_a_sentence"), *[(x[name] / n).alias(name) for name, _ in marks],
+        )
+
+    return F.transform(F.array(outside), measured)[0]
 
 
 def punctuation(text: Column) -> Column:

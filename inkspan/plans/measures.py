@@ -94,7 +94,7 @@ SELECT doc_id, round(mean, 6) AS mean_length, round(sqrt(greatest(0, sq - mean *
  round(len(w) * 1.0::DOUBLE / greatest(1, len(regexp_extract_all(text, '[.!?]+'))), 6) AS words_a_sentence, round(len(regexp_extract_all(text, ',')) / n, 6) AS comma, round(len(regexp_extract_all(text, ';')) / n, 6) AS semicolon, round(len(regexp_extract_all(text, ':')) / n, 6) AS colon, round(len(regexp_extract_all(text, '!')) / n, 6) AS exclamation, round(len(regexp_extract_all(text, '\?')) / n, 6) AS question, round(len(regexp_extract_all(text, '—')) / n, 6) AS dash, round(len(regexp_extract_all(text, '\(')) / n, 6) AS bracket, round(len(regexp_extract_all(text, '"')) / n, 6) AS quote, round(len(regexp_extract_all(text, '[''’]')) / n, 6) AS apostrophe FROM m""")
 def surface_stats(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = docs.select("doc_id", *frequency.surface(F.col("text")))
+    out = docs.select("doc_id", frequency.surface(F.col("text")).alias("s")).select("doc_id", "s.*")
     return r6(out, *[c for c in out.columns if c not in ("doc_id", "sd_length")]).withColumn("sd_length", F.round("sd_length", 5))
 
 

@@ -151,7 +151,8 @@ def sessions(spark, sf):
     return out.select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("first_us"), F.unix_micros(F.col("end").cast("timestamp")).alias("end_us"), "events", F.round("value", 4).alias("value"))
 
 
-CONFIG = Config(passage_tokens=400, min_tokens=60, max_styles=6, fit_passages=300, joinable_collections=())
+#: The defaults but for shorter passages, as the documents are shorter than books.
+CONFIG = Config(passage_tokens=400, min_tokens=60, joinable_collections=())
 
 
 @register("style_tags")
