@@ -34,25 +34,40 @@ def separation(x: np.ndarray, split: int) -> float:
     return gap / max(spread, 1e-9) * float(np.sqrt(len(left) * len(right) / len(x)))
 
 
-def best_split(x: np.ndarray, least: int) -> tuple[int, float]:
-    at = range(least, len(x) - least + 1)
-    return max(((i, separation(x, i)) for i in at), key=lambda p: (p[1], -p[0]), default=(0, 0.0))
-
-
-def change_point(x: np.ndarray, least: int = 4, permutations: int = 99, seed: int = 0) -> tuple[int, float, float]:
+def separations(x: np.ndarray, least: int) -> np.ndarray:
+    """``separation`` of series (any number, rows, columns) at each split that leaves
+    ``least`` rows on both sides, from running sums."""
+    n = x.shape[1]
+    at = np.arange(least, n - least + 1)
+    first, second = np.cumsum(x, axis=1), np.cumsum(x * x, axis=1)
+    before, after = at[:, None], (n - at)[:, None]
+    left, right = first[:, at - 1], first[:, -1:] - first[:, at - 1]
+    gap = np.linalg.norm(left / before - right / after, axis=2)
+    inside = (second[:, -1:] - left * left / before - right * right / after).sum(2)
+    spread = np.sqrt(np.maximum(inside, 0) / n)
+    return gap / np.maximum(spread, 1e-9) * np.sqrt(at * (n - at) / n)
+
+
+def change_point(x: np.ndarray, least: int = 4, permutations: int = 500, seed: int = 0, block: int = 2_000_000) -> tuple[int, float, float]:
     """(split, separation, p): the best split, and how often shuffled rows do as
-    well, counting the order found."""
+    well, counting the order found.  Shuffled series are measured together, as many as
+    ``block`` numbers allow."""
     spread = x.std(0)
     z = np.where(spread < 1e-12, 0.0, (x - x.mean(0)) / np.where(spread < 1e-12, 1.0, spread))
     if len(x) < 2 * least:
         return 0, 0.0, 1.0
-    split, found = best_split(z, least)
+    own = separations(z[None], least)[0]
+    found = float(own.max())
     rng = np.random.default_rng(seed)
-    hits = sum(best_split(z[rng.permutation(len(z))], least)[1] >= found for _ in range(permutations))
-    return split, found, (hits + 1) / (permutations + 1)
+    hits, left, most = 0, permutations, max(1, block // z.size)
+    while left:
+        shuffled = np.stack([z[rng.permutation(len(z))] for _ in range(min(left, most))])
+        hits += int((separations(shuffled, least).max(1) >= found - 1e-9).sum())
+        left -= len(shuffled)
+    return least + int(own.argmax()), found, (hits + 1) / (permutations + 1)
 
 
-def change_points(rows: DataFrame, keys: list[str], order: str, columns: list[str], least: int = 4, permutations: int = 99, seed: int = 0) -> DataFrame:
+def change_points(rows: DataFrame, keys: list[str], order: str, columns: list[str], least: int = 4, permutations: int = 500, seed: int = 0) -> DataFrame:
     """The change point of each series.  One series is one task's work; there are
     as many tasks as series."""
 

@@ -86,7 +86,7 @@ def pair_vectors(pairs: DataFrame, described: DataFrame) -> DataFrame:
     return known.select(*pairs.columns, F.concat("apart", F.array(cosine, rms, "gram_cosine")).alias("features"))
 
 
-def fit_logistic(rows: DataFrame, features: str, label: str, weight: str, strength: float = 1.0, tol: float = 1e-8) -> tuple[list[float], float]:
+def fit_logistic(rows: DataFrame, features: str, label: str, weight: str, strength: float = 1.0, tol: float = 1e-6) -> tuple[list[float], float]:
     """Weights and bias that minimise the weighted logistic loss plus half the squared
     length of the weights over ``strength``; the bias isn't held back."""
     total = rows.agg(F.sum(weight)).first()[0]
@@ -95,7 +95,7 @@ def fit_logistic(rows: DataFrame, features: str, label: str, weight: str, streng
     return [float(v) for v in fit.coefficients], float(fit.intercept)
 
 
-def fit(passages: DataFrame, words: list[str], suffixes: list[str], most_pairs: int = 8, most_grams: int = 10_000, seed: int = 42, offered: int = 8, tol: float = 1e-8) -> PairModel:
+def fit(passages: DataFrame, words: list[str], suffixes: list[str], most_pairs: int = 8, most_grams: int = 10_000, seed: int = 42, offered: int = 8, tol: float = 1e-6) -> PairModel:
     """A verifier from training passages of one language.
 
     Refuses passages that aren't independent evidence, and needs pairs of one author
@@ -104,7 +104,8 @@ def fit(passages: DataFrame, words: list[str], suffixes: list[str], most_pairs:
     language = passages.select("language").first()
     if language is None:
         raise ValueError("no passages")
-    weighted = pair_weights(training_pairs(passages, most_pairs, seed, offered))
+    pairs = training_pairs(passages, most_pairs, seed, offered).persist()
+    weighted = pair_weights(pairs).persist()
     if {r.same_author for r in weighted.select("same_author").distinct().collect()} != {True, False}:
         raise ValueError("training needs works of two authors, and two works of one")
     static = lexical.static_vectors(passages, words, suffixes).join(lexical.passage_weights(passages).select("id", "weight"), "id")
@@ -116,7 +117,8 @@ def fit(passages: DataFrame, words: list[str], suffixes: list[str], most_pairs:
         fitted = rows.select(lexical.scaled(F.col("features"), *pair_scale).alias("features"), "same_author", "weight")
         weights, bias = fit_logistic(fitted, "features", "same_author", "weight", tol=tol)
     finally:
-        rows.unpersist()
+        for held in (rows, weighted, pairs):
+            held.unpersist()
     return PairModel(language[0], words, suffixes, static_scale, space, pair_scale, weights, bias)
 
 

@@ -115,6 +115,16 @@ def test_few_or_equal_passages_are_one_group():
             discovery.Config(**bad)
 
 
+def test_separations_equal_those_of_each_split():
+    rng = np.random.default_rng(3)
+    for n in (8, 9, 40):
+        x = rng.normal(0, 1, (3, n, 2))
+        got = rolling.separations(x, 4)
+        assert np.allclose(got, [[rolling.separation(s, i) for i in range(4, n - 3)] for s in x])
+    flat = rolling.change_point(np.ones((20, 2)), 4, 50)
+    assert flat == (4, 0.0, 1.0)
+
+
 def test_change_point_is_found():
     rng = np.random.default_rng(3)
     x = np.vstack([rng.normal(0, 0.2, (12, 2)), rng.normal(3, 0.2, (10, 2))])
