@@ -104,13 +104,13 @@ def divergence(networks: DataFrame, docs: DataFrame) -> DataFrame:
 
 def margins(points: DataFrame, label: str, vector: str, key: str) -> DataFrame:
     """(d_other - d_own) / max(d_own, d_other) of each point to the centroids of
-    the labels.  Centroids are few and of fixed width; Spark broadcasts them if
-    their size allows it."""
+    the labels, which are one row of an array each: a label's vector is of fixed width."""
     parts = points.select(key, label, F.posexplode(vector).alias("i", "x"))
     means = parts.groupBy(label, "i").agg(F.avg("x").alias("m"))
     centroids = means.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c")).select(F.col(label).alias("other"), F.col("c.m").alias("c"))
     square = F.aggregate(F.zip_with(vector, "c", lambda x, m: (x.cast("double") - m) * (x.cast("double") - m)), F.lit(0.0), lambda a, d: a + d)
-    met = points.select(key, label, vector).join(centroids).select(key, label, "other", F.sqrt(square).alias("d"))
+    known = centroids.agg(F.collect_list(F.struct("other", "c")).alias("known"))  # one row
+    met = points.select(key, label, vector).crossJoin(F.broadcast(known)).select(key, label, vector, F.explode("known").alias("k")).select(key, label, vector, "k.other", "k.c").select(key, label, "other", F.sqrt(square).alias("d"))
     own = F.max(F.when(F.col(label) == F.col("other"), F.col("d")))
     rest = F.min(F.when(F.col(label) != F.col("other"), F.col("d")))
     by = met.groupBy(key, label).agg(own.alias("own"), rest.alias("rest"))

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkspan.operators.gallery import running
+
 
 def _pairs(n: Column) -> Column:
     return n * (n - 1) / 2
@@ -87,11 +89,10 @@ def calibrate_rejection(rows: DataFrame, score: str, genuine: str, most_false: f
     accepted (score >= threshold), with the share of the genuine it accepts.  All
     rows of a score are accepted or rejected together."""
     by = rows.groupBy(score).agg(F.sum(F.col(genuine).cast("long")).alias("g"), F.sum((~F.col(genuine)).cast("long")).alias("i"))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc(score))
-    whole = Window.partitionBy(F.lit(0))
-    curve = by.select(F.col(score).alias("threshold"), F.sum("g").over(down).alias("accepted"), F.sum("i").over(down).alias("false_accepted"), F.sum("g").over(whole).alias("genuine"), F.sum("i").over(whole).alias("impostors"))
-    feasible = curve.where(F.col("false_accepted") <= most_false * F.col("impostors"))
-    return feasible.orderBy("threshold").limit(1).select("threshold", (F.col("accepted") / F.col("genuine")).alias("accepted_share"), (F.col("false_accepted") / F.col("impostors")).alias("false_share"))
+    whole = by.agg(F.sum("g").alias("genuine"), F.sum("i").alias("impostors"))  # one row
+    curve = running(by, score, ["g", "i"]).crossJoin(F.broadcast(whole)).withColumnRenamed(score, "threshold")
+    feasible = curve.where(F.col("at_least_i") <= most_false * F.col("impostors"))
+    return feasible.orderBy("threshold").limit(1).select("threshold", (F.col("at_least_g") / F.col("genuine")).alias("accepted_share"), (F.col("at_least_i") / F.col("impostors")).alias("false_share"))
 
 
 def decisions(scores: DataFrame, query: str, candidate: str, score: str, threshold: float) -> DataFrame:

@@ -222,7 +222,7 @@ def splice_control(spark, sf):
     return rows.select("doc_id", F.array_join(intervals.spliced(F.col("words"), F.array(*map(F.lit, "xyz")), 0.2), " ").alias("text"))
 
 
-@register("deletion_control")
+@register("deletion_control", _WORDS + "SELECT doc_id, CAST(len(words) AS INT) AS before, CAST(len(words) - greatest(1, CAST(floor(len(words) * 0.02::DOUBLE) AS BIGINT)) AS INT) AS after FROM w WHERE len(words) > 0")
 def deletion_control(spark, sf):
     rows = _words(spark, sf).where(F.size("words") > 0)
     return rows.select("doc_id", F.size("words").alias("before"), F.size(intervals.deleted(F.col("words"), 0.02, "d1", "doc_id")).alias("after"))
