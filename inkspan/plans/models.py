@@ -6,13 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkspan.functions import tokens
-from inkspan.operators import distances, evaluate, intervals, profiles, spaces, supervised
+from inkspan.operators import combined, evaluate, intervals, profiles, spaces, supervised
 from inkspan.operators.discovery import Config
 from inkspan.sources import importers
 from inkspan.streaming import arrivals
 
 from .analyze import analyze, validation
-from .measures import r6
+from .measures import _MARKERS, r6
 from .registry import register, table
 from .structure import _PASSAGES, _packed, tagged, units
 
@@ -175,15 +175,41 @@ def held_out_authors(spark, sf):
     return supervised.held_out_predictions(u, 300)
 
 
-@register("attribution_blocks")
-def attribution_blocks(spark, sf):
-    """Nearest neighbours outside the own source on combined word-rate blocks."""
-    from .measures import blocks
-
-    docs, z = blocks(spark, sf, 80)
-    return distances.nearest_outside(distances.pairs(z, "z", "cosine"), docs)
+_WORDS = r"""WITH w AS (SELECT doc_id, regexp_extract_all(replace(lower(strip_accents(coalesce(text, ''))), 'ß', 'ss'), '[\p{L}\p{Nl}\p{No}]+(?:[''’][\p{L}\p{Nl}\p{No}]+)?') AS words FROM documents)
+"""
+_COMBINED = _WORDS.replace("SELECT doc_id,", "SELECT doc_id, lang AS block, lang || '|' || source AS doc,", 1) + """, t AS (SELECT block, doc, doc_id AS text, unnest(words) AS word, unnest(range(len(words))) AS pos FROM w WHERE block IS NOT NULL AND doc IS NOT NULL),
+g AS (SELECT DISTINCT block, doc, substr(doc, -1) AS grp FROM t), c AS (SELECT block, doc, word, count(*) AS n FROM t GROUP BY ALL),
+k AS (SELECT block, word FROM (SELECT block, word, row_number() OVER (PARTITION BY block ORDER BY sum(n) DESC, word) AS place FROM c GROUP BY block, word) WHERE place <= 80),
+q AS (SELECT doc, word, n * 1.0::DOUBLE / sum(n) OVER (PARTITION BY doc) AS value FROM c),
+v1 AS (SELECT g.block, g.doc, 'rate' AS kind, k.word AS feature, coalesce(q.value, 0) AS value FROM g JOIN k ON g.block = k.block LEFT JOIN q ON q.doc = g.doc AND q.word = k.word),
+m AS (SELECT * FROM t WHERE word IN ('the', 'of', 'and', 'to', 'in', 'der', 'die', 'und')),
+e AS (SELECT a.block, a.doc, a.word || '>' || b.word AS feature, sum(1.0::DOUBLE / (b.pos - a.pos)) AS weight FROM m a JOIN m b ON a.text = b.text AND b.pos > a.pos AND b.pos <= a.pos + 10 GROUP BY ALL),
+h AS (SELECT block, feature FROM (SELECT block, feature, row_number() OVER (PARTITION BY block ORDER BY round(sum(weight), 6) DESC, feature) AS place FROM e GROUP BY block, feature) WHERE place <= 40),
+s AS (SELECT doc, feature, weight / sum(weight) OVER (PARTITION BY doc) AS value FROM e),
+v2 AS (SELECT g.block, g.doc, 'placement' AS kind, h.feature, coalesce(s.value, 0) AS value FROM g JOIN h ON g.block = h.block LEFT JOIN s ON s.doc = g.doc AND s.feature = h.feature),
+r AS (SELECT block, doc, n, row_number() OVER (PARTITION BY doc ORDER BY n DESC, word) AS place FROM c),
+b AS (SELECT block, doc, CAST(sum(n) AS DOUBLE) AS tokens, count(*) AS types, CAST(sum(n * n) AS DOUBLE) AS sq, count(*) FILTER (n = 1) AS once, count(*) FILTER (n = 2) AS two, sum(n) FILTER (place <= 10) AS top, coalesce(sum(n) FILTER (n > 1), 0) AS rep FROM r GROUP BY block, doc),
+l AS (SELECT doc, list(word ORDER BY text, pos) AS words FROM t GROUP BY doc), a AS (SELECT doc, words, least(len(words), 100) AS size, unnest(range(len(words) - least(len(words), 100) + 1)) AS start FROM l),
+f AS (SELECT doc, avg(len(list_distinct(words[start + 1:start + size])) * 1.0::DOUBLE / size) AS mattr FROM a GROUP BY doc),
+y AS (SELECT block, b.doc, ln(1 + CASE WHEN tokens < 2 THEN 0 ELSE 1e4 * (sq - tokens) / (tokens * tokens) END) AS yule_k, CASE WHEN tokens < 2 THEN 0 ELSE (sq - tokens) / (tokens * (tokens - 1)) END AS simpson_d, two * 1.0::DOUBLE / types AS sichel_s,
+ ln(1 + 100 * ln(tokens) / CASE WHEN once < types THEN 1 - once * 1.0::DOUBLE / types ELSE sqrt(1e-9) END) AS honore_r, ln(1 + pow(tokens, pow(types, -0.165))) AS brunet_w, once * 1.0::DOUBLE / types AS hapax_ratio, mattr, top / tokens AS top_share, rep / tokens AS repeat_rate FROM b JOIN f USING (doc)),
+v3 AS (SELECT block, doc, 'repetition' AS kind, feature, value FROM (UNPIVOT y ON yule_k, simpson_d, sichel_s, honore_r, brunet_w, hapax_ratio, mattr, top_share, repeat_rate INTO NAME feature VALUE value)),
+x AS (SELECT *, stddev_pop(value) OVER p AS sd, avg(value) OVER p AS mean FROM (SELECT * FROM v1 UNION ALL SELECT * FROM v2 UNION ALL SELECT * FROM v3) WINDOW p AS (PARTITION BY block, kind, feature)),
+o AS (SELECT block, kind, count(DISTINCT feature) FILTER (sd >= 1e-12) AS loud FROM x GROUP BY block, kind),
+z AS (SELECT x.block, doc, kind || ':' || feature AS feature, CASE WHEN sd < 1e-12 OR loud = 0 THEN 0 ELSE (value - mean) / sd / sqrt(loud) END AS z FROM x JOIN o USING (block, kind)),
+d AS (SELECT i.doc AS a, j.doc AS b, round(greatest(0, least(2, CASE WHEN sum(i.z * i.z) > 0 AND sum(j.z * j.z) > 0 THEN 1 - sum(i.z * j.z) / sqrt(sum(i.z * i.z) * sum(j.z * j.z)) ELSE 1 END)), 5) AS distance FROM z i JOIN z j ON i.block = j.block AND i.feature = j.feature AND i.doc <> j.doc GROUP BY i.doc, j.doc)
+"""
 
 
+@register("attribution_blocks", _COMBINED + ", u AS (SELECT d.* FROM d JOIN g i ON i.doc = d.a JOIN g j ON j.doc = d.b WHERE i.grp <> j.grp) SELECT g.doc, first(u.b ORDER BY distance, u.b) AS nearest, min(distance) AS distance FROM g LEFT JOIN u ON u.a = g.doc GROUP BY g.doc")
+def attribution_blocks(spark, sf):
+    """Nearest sources outside the own group over equalised rates, placements and
+    repetition."""
+    rows = table(spark, sf, "documents").where("lang is not null and source is not null").select("doc_id", F.col("lang").alias("block"), F.concat_ws("|", "lang", "source").alias("doc"), tokens.folded_words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    words = rows.select("block", "doc", F.col("doc_id").alias("text"), F.posexplode("words").alias("pos", "word")).persist()
+    docs = rows.select("block", "doc").distinct().persist()
+    values = combined.rates(words, docs, 80).unionByName(combined.placements(rows.select("doc", "words"), docs, _MARKERS, 10, 40)).unionByName(combined.repetition(words, docs))
+    return combined.attributed(values, docs.withColumn("group", F.substring("doc", -1, 1)))
 
 
 @register("rate_intervals")
@@ -194,10 +220,6 @@ def rate_intervals(spark, sf):
     return intervals.rate_intervals(s, ["lang"], "author", "work", "hit")
 
 
-_WORDS = r"""WITH w AS (SELECT doc_id, regexp_extract_all(replace(lower(strip_accents(coalesce(text, ''))), 'ß', 'ss'), '[\p{L}\p{Nl}\p{No}]+(?:[''’][\p{L}\p{Nl}\p{No}]+)?') AS words FROM documents)
-"""
-
-
 def _words(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tokens.folded_words(F.col("text")).alias("words"))
 
