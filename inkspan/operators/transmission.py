@@ -14,24 +14,29 @@ from inkspan.functions.tokens import bare_text
 # Verbs of transmission (alone or after waw or fa), verbs that
 # introduce a report, eulogies, names and cues of the speaker, and limits.
 CHAIN = (
-    "حدثنا حدثني حدثتنا حدثتني حدثه حدثهم حدثوا يحدث نحدث اخبرنا اخبرني اخبرهم اخبره انبانا انباني اخبرتنا اخبرتني "
-    "ثنا سمعت سمعه سمع سمعنا عن باسناده بهذا مثله"
-).split()
-HINGE = frozenset("قال قالت قالوا قالا يقول تقول انه انها انهم ان فقال سمع يحدث".split())
-EULOGIES = tuple(
-    tuple(x.split())
-    for x in (
-        "صلي الله عليه وسلم", "صلي الله عليه و سلم", "رضي الله عنهما", "رضي الله عنهم", "رضي الله عنها", "رضي الله عنه", "رضي الله عنهن",
-        "عليه السلام", "عليها السلام", "عليهما السلام", "رحمه الله", "تبارك وتعالي", "عز وجل", "سبحانه وتعالي",
-    )
+    "حدثنا", "حدثني", "حدثتنا", "حدثتني", "حدثه", "حدثهم", "حدثوا", "يحدث", "نحدث", "اخبرنا", "اخبرني", "اخبرهم",
+    "اخبره", "انبانا", "انباني", "اخبرتنا", "اخبرتني", "ثنا", "سمعت", "سمعه", "سمع", "سمعنا", "عن", "باسناده",
+    "بهذا", "مثله",
 )
-NAMES = frozenset("رسول النبي نبي القاسم".split())
-CUES = frozenset("قال يقول فقال قالت سمعت سمع نادي دعا امر قرا اجاب".split())
+HINGE = {
+    "قال", "قالت", "قالوا", "قالا", "يقول", "تقول", "انه", "انها", "انهم", "ان", "فقال", "سمع", "يحدث",
+}
+EULOGIES = (
+    "صلي الله عليه وسلم", "صلي الله عليه و سلم", "رضي الله عنهما", "رضي الله عنهم", "رضي الله عنها", "رضي الله عنه",
+    "رضي الله عنهن", "عليه السلام", "عليها السلام", "عليهما السلام", "رحمه الله", "تبارك وتعالي", "عز وجل",
+    "سبحانه وتعالي",
+)
+NAMES = {
+    "رسول", "النبي", "نبي", "القاسم",
+}
+CUES = {
+    "قال", "يقول", "فقال", "قالت", "سمعت", "سمع", "نادي", "دعا", "امر", "قرا", "اجاب",
+}
 GAP, SHARE, NAME_WORDS, LOOK_BEHIND = 10, 0.9, 8, 9
 
 VERBS = frozenset(p + v for v in CHAIN for p in ("", "و", "ف"))
 _EULOGY_BY_FIRST: dict[str, list[tuple[str, ...]]] = {}
-for _phrase in EULOGIES:
+for _phrase in (tuple(e.split()) for e in EULOGIES):
     _EULOGY_BY_FIRST.setdefault(_phrase[0], []).append(_phrase)
 
 
