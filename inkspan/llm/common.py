@@ -23,7 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     own = spark.conf.get("spark.checkpoint.dir", None)
     if own is None:
-        own = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
+        own = sc.getCheckpointDir()
+    if own is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        own = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(own)
     return own
