@@ -157,7 +157,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     if not rates:
         return train([], [])
     rate = F.create_map(*[F.lit(x) for pair in sorted(rates.items()) for x in pair])
-    drawn = F.pmod(F.xxhash64(F.lit("langid"), "k"), F.lit(1_000_000)) < F.try_element_at(rate, F.col("lang")) * 1_000_000
+    drawn = F.pmod(F.xxhash64(F.lit("langid"), "k", "text"), F.lit(1_000_000)) < F.try_element_at(rate, F.col("lang")) * 1_000_000
     bags = known.where(drawn).select("text", "lang").mapInArrow(_bags, "lang string, ids binary, counts binary").collect()
     bags.sort(key=lambda r: (bytes(r["ids"]), bytes(r["counts"]), r["lang"]))
     bags = [bags[i] for i in np.random.default_rng(0).permutation(len(bags))]

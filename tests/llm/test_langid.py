@@ -51,6 +51,39 @@ def test_rejection_threshold():
     assert langid.threshold_for(score, ~right, 0.0) == 1.0
 
 
+def test_judgement_equals_plain_loops():
+    rng = np.random.default_rng(2)
+    model = langid.Model(("de", "en", "fr"), rng.normal(0, 1, (langid.BUCKETS, 3)).astype(np.float32), np.array([0.1, -0.2, 0.0]), 0.7, 0.5)
+    texts = ["Hello wörld", "x", "12 !?", None, "", "lange Wörter und kurze", "a " * 5000]
+    langs, scores, rejected = model.judge(texts)
+    for text, lang, score, no in zip(texts, langs, scores, rejected, strict=True):
+        ids = langid.buckets_of(text)
+        if ids is None:
+            assert (lang, score, no) == ("und", 0.0, True)
+            continue
+        logits = [(sum(float(model.table[i, k]) for i in ids) / len(ids) + model.bias[k]) / 0.7 for k in range(3)]
+        odds = np.exp(np.array(logits) - max(logits))
+        best = int(odds.argmax())
+        assert lang == model.languages[best] and abs(score - odds[best] / odds.sum()) < 1e-6 and no == (score < 0.5)
+
+
+def test_training_separates_what_differs():
+    bags = [(np.array([k, 10 + k], np.uint16), np.array([3, 1], np.uint32)) for k in [1, 2, 3] * 20]
+    model = langid.train(bags, ["a", "b", "c"] * 20)
+    for (ids, counts), lang in zip(bags, ["a", "b", "c"] * 20, strict=True):
+        logits = (counts / counts.sum()) @ model.table[ids] + model.bias
+        assert model.languages[int(logits.argmax())] == lang
+    assert langid.train([], []).judge(["text"])[0] == ["und"]
+
+
+def test_rows_without_a_key_are_drawn_by_their_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda bags, langs: seen.append(langs))
+    rows = [(None, f"words {i} " + chr(97 + i % 26) * (1 + i % 9), "en") for i in range(2000)]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=100)
+    assert 50 <= len(seen[0]) <= 160
+
+
 def test_edges(edge_docs, no_docs):
     got = {r.doc_id: r for r in langid.op10(edge_docs).collect()}
     texts = {r.doc_id: r.text for r in edge_docs.collect()}
