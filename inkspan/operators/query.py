@@ -96,3 +96,30 @@ def facets(units: DataFrame, selection: Selection) -> DataFrame:
 def page(units: DataFrame, selection: Selection, number: int, size: int = 50) -> DataFrame:
     """The number-th page of the selected units in source order."""
     return select(units, selection).orderBy("seq").offset(number * size).limit(size)
+
+
+#: Named scopes of a corpus, as conditions on a unit.
+SCOPES = {
+    "all": "true",
+    "sinaiticus": "source <=> 'sinaiticus'",
+    "lxx": "collection <=> 'LXX'",
+    "nt": "collection <=> 'NT'",
+    "christian": "language <=> 'grc' and not (collection <=> 'LXX')",
+    "noncanonical": "language <=> 'grc' and canon <=> 'none'",
+    "greek": "language <=> 'grc'",
+    "hebrew": "language <=> 'hbo'",
+    "arabic": "language <=> 'arb'",
+    "tanakh": "language <=> 'hbo' and collection <=> 'Tanakh'",
+    "quran": "collection <=> 'Quran'",
+}
+
+
+def scoped(units: DataFrame, scope: str = "christian", works: list[str] | None = None, language: str | None = None, scopes: dict[str, str] = SCOPES) -> DataFrame:
+    """The units of a named scope, of some works only (by code, whatever its case; none
+    given: all) and of one language."""
+    if scope not in scopes:
+        raise ValueError(f"unknown scope {scope!r}; choose from {', '.join(sorted(scopes))}")
+    out = units.where(F.expr(scopes[scope]))
+    if works:
+        out = out.where(F.upper("work").isin(sorted({w.upper() for w in works})))
+    return out if language is None else out.where(F.col("language") == language)
