@@ -50,18 +50,18 @@ d AS (SELECT doc_id, coalesce(source, '_') || '/' || CAST(CAST(floor(doc_id / 10
                             lambda x: regexp_replace(x, '(?i)^.*(spdx-license-identifier)', '\1')) AS lines,
              -- a line without letter or digit is marked, and blocks lie between marks
              string_split(array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: CASE WHEN i > 1 AND NOT regexp_matches(x, '[\p{{L}}\p{{N}}]') THEN chr(1) ELSE x END), chr(10)), chr(10) || chr(1)) AS parts FROM documents),
-p AS (SELECT *, dir || '/' || CAST(doc_id AS VARCHAR) AS path, list_filter(parts, lambda x: contains(trim(x, ' ' || chr(9) || chr(10) || chr(13)), chr(10)) AND regexp_matches(x, '{speaks}')) AS blocks FROM d),
-v AS (SELECT doc_id, CASE WHEN len(lines) > 0 THEN list_concat(lines, blocks) ELSE [] END AS units FROM p),
+p AS (SELECT *, dir || CASE WHEN doc_id % 10 = 0 THEN '/LICENSE-' ELSE '/' END || CAST(doc_id AS VARCHAR) AS path, list_filter(parts, lambda x: contains(trim(x, ' ' || chr(9) || chr(10) || chr(13)), chr(10)) AND regexp_matches(x, '{speaks}')) AS blocks FROM d),
+v AS (SELECT doc_id, list_concat(CASE WHEN len(lines) > 0 THEN list_concat(lines, blocks) ELSE [] END, CASE WHEN doc_id % 10 = 0 THEN [coalesce(text, '')] ELSE [] END) AS units FROM p),
 u AS (SELECT doc_id, unnest(range(len(units))) AS unit, unnest(units) AS line FROM v),
 w AS (SELECT doc_id, unit, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM u),
 t AS (SELECT doc_id, unit, term, count(*) AS tf FROM w GROUP BY ALL),
 x AS (SELECT t.*, tf * coalesce(idf, {other!r}::DOUBLE) AS x FROM t LEFT JOIN idf USING (term)),
-m AS (SELECT *, sqrt(sum(x * x) OVER z) AS norm, sum(tf) OVER z AS n FROM x WINDOW z AS (PARTITION BY doc_id, unit)),
-c AS (SELECT doc_id, unit, template, round(sum(x * weight) / first(norm), 6) AS cosine, first(n) AS n FROM m JOIN weights USING (term) GROUP BY doc_id, unit, template),
+m AS (SELECT *, sqrt(sum(x * x) OVER z) AS norm FROM x WINDOW z AS (PARTITION BY doc_id, unit)),
+c AS (SELECT doc_id, unit, template, round(sum(x * weight) / first(norm), 6) AS cosine FROM m JOIN weights USING (term) GROUP BY doc_id, unit, template),
 h AS (SELECT * FROM c JOIN names USING (template) WHERE cosine >= {licenses.COSINE}),
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY cosine DESC, license, template) AS k FROM h),
-o AS (SELECT doc_id, first(license ORDER BY cosine DESC, license, unit) AS license, max(cosine) AS cosine, sum(n) AS n FROM b WHERE k = 1 GROUP BY doc_id),
-f AS (SELECT p.doc_id, dir, path, license, cosine, 2 * n >= len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS is_file FROM p LEFT JOIN o USING (doc_id)),
+o AS (SELECT doc_id, first(license ORDER BY cosine DESC, license, unit) AS license, max(cosine) AS cosine FROM b WHERE k = 1 GROUP BY doc_id),
+f AS (SELECT p.doc_id, dir, path, license, cosine, doc_id % 10 = 0 AS is_file FROM p LEFT JOIN o USING (doc_id)),
 held AS (SELECT dir, first(license ORDER BY cosine DESC, path) AS license, max(cosine) AS cosine, first(path ORDER BY cosine DESC, path) AS path FROM f WHERE is_file AND license IS NOT NULL GROUP BY dir),
 wanting AS (SELECT DISTINCT dir FROM f WHERE license IS NULL),
 ancestor AS (SELECT dir, k, array_to_string(list_slice(string_split(dir, '/'), 1, k), '/') AS up FROM wanting, range(0, 5) t(k) WHERE k <= len(string_split(dir, '/'))),
