@@ -23,7 +23,11 @@ MEASURES = (*HEAVY, "simpson_d", "sichel_s", "hapax_ratio", "mattr", "top_share"
 def rates(words: DataFrame, docs: DataFrame, most: int = 500) -> DataFrame:
     """Relative frequencies of a block's most frequent words.  words: (block, doc, text,
     pos, word); docs: (block, doc)."""
-    counts = words.groupBy("block", "doc", "word").agg(F.count("*").alias("n"))
+    return rates_of(words.groupBy("block", "doc", "word").agg(F.count("*").alias("n")), docs, most)
+
+
+def rates_of(counts: DataFrame, docs: DataFrame, most: int = 500) -> DataFrame:
+    """``rates`` from counts (block, doc, word, n)."""
     totals = counts.groupBy("block", "word").agg(F.sum("n").alias("n"))
     features = frequency.top_words(totals, ["block"], most).select("block", F.col("word").alias("feature"))
     values = distances.frequencies(counts.select("doc", F.col("word").alias("feature"), "n"))
@@ -46,7 +50,17 @@ def repetition(words: DataFrame, docs: DataFrame, window: int = 100) -> DataFram
     before = F.coalesce(F.sum("n").over(Window.partitionBy("doc").orderBy("text").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = words.join(lengths.select("doc", "text", before.alias("before")), ["doc", "text"]).select("doc", (F.col("before") + F.col("pos")).alias("pos"), "word")
     counts = words.groupBy("doc", "word").agg(F.count("*").alias("n"))
-    rich = frequency.richness(counts, ["doc"]).join(frequency.mattr(placed, ["doc"], window), "doc")
+    return _measured(frequency.richness(counts, ["doc"]), frequency.mattr(placed, ["doc"], window), docs)
+
+
+def repetition_of(counts: DataFrame, texts: DataFrame, docs: DataFrame, window: int = 100) -> DataFrame:
+    """``repetition`` from counts (doc, word, n) and texts (doc, text, words array), without
+    a row a word."""
+    return _measured(frequency.richness(counts, ["doc"]), frequency.mattr_texts(texts, ["doc"], "text", window), docs)
+
+
+def _measured(rich: DataFrame, ratio: DataFrame, docs: DataFrame) -> DataFrame:
+    rich = rich.join(ratio, "doc")
     value = lambda m: F.log1p(F.greatest(F.col(m), F.lit(0.0))) if m in HEAVY else F.col(m)
     each = rich.select("doc", F.explode(F.array(*[F.struct(F.lit(m).alias("feature"), value(m).alias("value")) for m in MEASURES])).alias("e"))
     return docs.join(each.select("doc", "e.feature", "e.value"), "doc").select("block", "doc", F.lit("repetition").alias("kind"), "feature", "value")
