@@ -26,3 +26,11 @@ def test_listed_pairs_make_no_row_of_other_words(spark):
     pairs = frequency.word_pairs(frame, ["doc"], 4, ["the", "of"])
     assert sorted(map(tuple, pairs.collect())) == [(1, "of", "the", 4), (1, "the", "of", 2), (1, "the", "the", 1)]
     assert frequency.word_pairs(frame.where("doc > 1"), ["doc"], 4, ["the"]).agg(F.count("*").alias("n")).first().n == 0
+
+
+def test_character_runs_are_taken_in_one_pass(spark):
+    texts = [(1, "ab\ncd"), (2, "a"), (3, ""), (4, "x😀y😀z"), (5, "été " * 40_000)]
+    got = {r.id: r.g for r in spark.createDataFrame(texts, "id int, text string").select("id", frequency.char_ngrams(F.col("text"), 4).alias("g")).collect()}
+    for i, t in texts:
+        padded = f" {t} "
+        assert got[i] == [padded[k : k + 4] for k in range(len(padded) - 3)]
