@@ -62,13 +62,13 @@ class Characters:
     fitted: LogisticRegressionModel
 
 
-def _vectors(passages: DataFrame, kind: str, words: list[str], suffixes: list[str], pairs: list[str]) -> DataFrame:
-    static = lexical.static_vectors(passages, words, suffixes)
+def _vectors(passages: DataFrame, kind: str, words: list[str], suffixes: list[str], pairs: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    static = lexical.static_vectors(passages, words, suffixes, keep)
     if kind == "function":
-        return static.select("id", F.slice("static", 1, len(words)).alias("v"))
+        return static.select("id", *keep, F.slice("static", 1, len(words)).alias("v"))
     by = listed_pairs(passages, words).where(F.col("pair").isin(pairs)).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pair", "rate"))).alias("rates"))
     rates = F.transform(F.array(*map(F.lit, pairs)), lambda p: F.coalesce(F.try_element_at("rates", p), F.lit(0.0))) if pairs else F.array().cast("array<double>")
-    return static.join(by, "id", "left").select("id", F.concat("static", rates).alias("v"))
+    return static.join(by, "id", "left").select("id", *keep, F.concat("static", rates).alias("v"))
 
 
 def fit_centroids(passages: DataFrame, kind: str, words: list[str], suffixes: list[str]) -> Centroids:
@@ -78,7 +78,7 @@ def fit_centroids(passages: DataFrame, kind: str, words: list[str], suffixes: li
     if kind == "morphology":
         found = listed_pairs(rows, words).join(rows.select("id", "weight"), "id").groupBy("pair").agg(F.sum(F.col("weight") * F.col("rate")).alias("n"))
         pairs = [r.pair for r in found.orderBy(F.desc(F.round("n", 9)), "pair").limit(MOST_PAIRS).collect()]
-    known = _vectors(rows, kind, words, suffixes, pairs).join(rows.select("id", "author", "weight"), "id").persist()
+    known = _vectors(rows, kind, words, suffixes, pairs, ("author", "weight")).persist()
     try:
         scale = lexical.scale_of(known, "v", "weight")
         entries = known.select("author", "weight", F.posexplode(lexical.scaled(F.col("v"), *scale)).alias("i", "x"))
@@ -102,11 +102,9 @@ def fit_characters(passages: DataFrame, most_grams: int = 30_000, strength: floa
     names = [r.author for r in rows.select("author").distinct().orderBy("author").collect()]
     place = F.array_position(F.array(*map(F.lit, names)), F.col("author")) - 1
     total = rows.agg(F.sum("weight")).first()[0]
-    data = lexical.gram_vectors(rows, space).join(rows.select("id", place.cast("double").alias("y"), F.col("weight").alias("w")), "id").select(_sparse(space.size)("at", "x").alias("x"), "y", "w").persist()
-    try:
-        fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1 / (strength * total), elasticNetParam=0.0, standardization=False, maxIter=2000, tol=tol, family="multinomial").fit(data)
-    finally:
-        data.unpersist()
+    placed = rows.select("id", "words", place.cast("double").alias("y"), F.col("weight").alias("w"))
+    data = lexical.gram_vectors(placed, space, ("y", "w")).select(_sparse(space.size)("at", "x").alias("x"), "y", "w")  # the fit holds its own blocks of them
+    fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1 / (strength * total), elasticNetParam=0.0, standardization=False, maxIter=2000, tol=tol, family="multinomial").fit(data)
     return Characters(language, space, names, fitted)
 
 
