@@ -1,11 +1,12 @@
 """Steps whose cost must follow the input."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from inkspan.operators import frequency
+from inkspan.operators import frequency, lexical, verifier
 
 
 def test_ratio_over_texts_equals_ratio_over_words(spark):
@@ -34,3 +35,31 @@ def test_character_runs_are_taken_in_one_pass(spark):
     for i, t in texts:
         padded = f" {t} "
         assert got[i] == [padded[k : k + 4] for k in range(len(padded) - 3)]
+
+
+def passages(spark, n=12):
+    words = lambda i: [f"w{(i * k) % 17}ing" for k in range(1, 30 + i)]
+    rows = [(str(i), f"k{i % 6}", f"a{i % 3}", "en", "g", "t", words(i)) for i in range(n)]
+    return spark.createDataFrame(rows, "id string, work string, author string, language string, genre string, topic string, words array<string>")
+
+
+def test_vectors_are_made_where_the_passage_is(spark):
+    p = passages(spark)
+    space = lexical.gram_space(p, 50)
+    for frame in (lexical.static_vectors(p, ["w1ing"], ["ing"]), lexical.gram_vectors(p, space, ("work",))):
+        assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+    row = lexical.static_vectors(p.where("id = '1'"), ["w1ing"], ["ing", "w1ing"], ("work",)).first()
+    own = p.where("id = '1'").first().words
+    assert row.work == "k1" and row.static == pytest.approx([own.count("w1ing") * 100 / len(own), 100.0, sum(w.endswith("w1ing") and len(w) > 6 for w in own) * 100 / len(own), sum(map(len, own)) / len(own), 0.0, len(set(own)) / len(own)])
+    counts = {(r.id, r.gram): r.n for r in lexical.gram_counts(p, "id").collect()}
+    known = {r.gram: (r.i, r.idf) for r in space.table.collect()}
+    for r in lexical.gram_vectors(p, space).collect():
+        want = {i: (1 + math.log(counts[r.id, g])) * idf for g, (i, idf) in known.items() if (r.id, g) in counts}
+        norm = math.sqrt(sum(v * v for v in want.values()))
+        assert list(r["at"]) == sorted(want) and r.x == pytest.approx([want[i] / norm for i in sorted(want)])
+
+
+def test_only_passages_of_pairs_are_described(spark):
+    p = passages(spark)
+    pairs = spark.createDataFrame([("1", "2"), ("2", "3")], "a string, b string")
+    assert {r.id for r in verifier._paired(p, pairs).collect()} == {"1", "2", "3"}
