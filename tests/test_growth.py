@@ -3,10 +3,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkspan.operators import frequency, lexical, verifier
+from inkspan.operators import frequency, lexical, supervised, verifier
 
 
 def test_ratio_over_texts_equals_ratio_over_words(spark):
@@ -63,3 +64,16 @@ def test_only_passages_of_pairs_are_described(spark):
     p = passages(spark)
     pairs = spark.createDataFrame([("1", "2"), ("2", "3")], "a string, b string")
     assert {r.id for r in verifier._paired(p, pairs).collect()} == {"1", "2", "3"}
+
+
+def test_blocks_learn_what_one_matrix_does(spark):
+    texts = [("the red fox ran home", 0), ("a red fox slept", 0), ("blue whales sing deep", 1), ("the blue sea sings", 1), ("grey stones", 2)] * 3
+    idf = np.ones(supervised.HASHED)
+    raw = [supervised.hashed_counts(t) for t, _ in texts]
+    rows = [(at, supervised._weighed(at, x[at], idf)) for x in raw for at in [np.flatnonzero(x)]]
+    y = np.array([c for _, c in texts])
+    blocks = spark.sparkContext.parallelize([(rows[:7], y[:7]), (rows[7:], y[7:])], 2)
+    got = supervised.fit_shared(blocks, np.bincount(y).astype(float), 60)
+    want = supervised.fit_linear(np.array([supervised.hashed_features(t, idf) for t, _ in texts]), y, 3, 300)
+    x = supervised._dense(rows)
+    assert np.abs(x @ got - x @ want).max() < 0.05 and ((x @ got).argmax(1) == y).all()
