@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkspan.operators import frequency, lexical, supervised, verifier
+from inkspan.operators import frequency, lexical, supervised, verifier, witness
 
 
 def test_ratio_over_texts_equals_ratio_over_words(spark):
@@ -77,3 +77,13 @@ def test_blocks_learn_what_one_matrix_does(spark):
     want = supervised.fit_linear(np.array([supervised.hashed_features(t, idf) for t, _ in texts]), y, 3, 300)
     x = supervised._dense(rows)
     assert np.abs(x @ got - x @ want).max() < 0.05 and ((x @ got).argmax(1) == y).all()
+
+
+def test_equal_pairs_of_texts_are_compared_once(spark):
+    texts = ["a b c", "a b c", "a x c", "", "q r", None]
+    rows = [("en", "B", w, "s", "1", str(v % 2), texts[(v + k) % 6], 3) for w, n in (("S", 9), ("X", 7)) for v in range(n) for k in (0, 3)]
+    units = spark.createDataFrame(rows, "language string, book string, witness string, source string, chapter string, verse string, text string, n_tokens int")
+    chosen = witness.choices(units)
+    plain = witness.similarity_by_book(witness.compared(witness.aligned(units, chosen))).collect()
+    got = witness.similarity(units, chosen).collect()
+    assert [r.asDict() for r in got] == [pytest.approx(r.asDict()) for r in plain] and plain[0].aligned > 50
