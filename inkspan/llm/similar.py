@@ -19,12 +19,15 @@ one codeword of each.  By pigeonhole two fingerprints that differ in at most
 3 * SEGMENTS - 4 bits have two segments with at most 2 errors and so share a key; of
 those further apart most still do.
 
-Join and verify.  Under each key of the first pair of segments a node is tried with the
-first node and with the one before it; under the other keys only nodes of different labels
-are, a label being a node to which a chain of tries leads.  In a bucket of more than three nodes, near ones that these
-tries don't reach are found by a search through the bucket.  So the tries' components
-hold together all nodes that share a key and are near each other in bits, by a number
-of rows that is linear in the nodes.  A try is verified in three steps, the cheap ones
+Join and verify.  Keys come in rounds, first the nearest codewords of the first pair of
+segments alone, then all keys of that pair, then those of the other pairs, ROUND pairs at a
+time, so that only a round's keys are on disk at once.  Under a key a node is tried with the
+first node and with the one before it if their labels differ, a label being first a nearest
+codeword's first node and then the component that the first pair's tries give; so a group of
+near copies is not tried again under each of its keys.  In a bucket of more than three nodes, near
+ones that these tries don't reach are found by a search through the bucket.  So the tries'
+components hold together all nodes that share a key and are near each other in bits, by a
+number of rows that is linear in the nodes.  A try is verified in three steps, the cheap ones
 first: sizes, parity bits (two sets differ in at least as many shingles as in parities)
 and the exact intersection.  Last, the links' components are compared with each other
 inside the tries' component, all members, in cells of at most 2 * CELL rows, by bits
@@ -44,6 +47,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -52,18 +56,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, digest_of
+from .common import cut, digest_of, free_shuffles
 from .components import components
 from .exact_dedup import _disk
-from .simhash import SEED, golay_keys, shingle_hashes
+from .simhash import SEED, _remainder, golay_keys, shingle_hashes
 
 SEGMENTS = 5
 #: Bits of 115 in which candidates may differ; unrelated texts differ in about half, similar ones in 20 at most.
 DISTANCE = 28
 PARITIES = 2048
 CELL = 4096
-#: How often a node takes over the label of its label; it only spares tries.
-JUMPS = 3
+#: Pairs of segments whose keys are on disk at once.
+ROUND = 3
 #: Buckets up to this size are looked through for pairs beyond the first tries.
 SMALL = 64
 #: Rows of a bucket that are looked through at once; larger buckets are cut into parts.
@@ -123,19 +127,27 @@ def _list_matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def keys_of(fps: np.ndarray, first: bool | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers, keys) of fingerprints, a row a fingerprint and a column a segment:
-    those of the first pair of segments, of all others, or of all pairs."""
+@lru_cache(1)
+def _codewords() -> np.ndarray:
+    return np.array([i << 11 | _remainder(i << 11) for i in range(1 << 12)], np.int64)
+
+
+def keys_of(fps: np.ndarray, pairs: list[int], nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, keys) of fingerprints, a row a fingerprint and a column a segment,
+    for the numbered pairs of segments; with ``nearest`` those of the nearest codewords only."""
     near = []
     for part in fps.T:
         rows, index = golay_keys(part)
+        if nearest:  # the code is perfect: one codeword within 3 errors
+            fine = np.bitwise_count(part[rows] ^ _codewords()[index]) <= 3
+            rows, index = rows[fine], index[fine]
         begin = np.searchsorted(rows, np.arange(len(fps)))
         table = np.full((len(fps), 6), -1, np.int64)
         table[rows, np.arange(len(rows)) - begin[rows]] = index
         near.append(table)
     out_rows, out_keys = [], []
     for k, (i, j) in enumerate(combinations(range(fps.shape[1]), 2)):
-        if first is not None and first != (k == 0):
+        if k not in pairs:
             continue
         a, b = near[i][:, :, None], near[j][:, None, :]
         row, x, y = np.nonzero((a >= 0) & (b >= 0))
@@ -156,13 +168,13 @@ def _packed(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _keyed(batches: Iterator[pa.RecordBatch], segments: int, first: bool) -> Iterator[pa.RecordBatch]:
+def _keyed(batches: Iterator[pa.RecordBatch], segments: int, pairs: list[int], nearest: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rep, label = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
         fps = _list_matrix(b.column(2), segments)
         for at in range(0, len(rep), 2000):
             part = fps[at : at + 2000]
-            rows, keys = keys_of(part, first)
+            rows, keys = keys_of(part, pairs, nearest)
             f, g = _packed(part)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, rep[at : at + 2000][rows], label[at : at + 2000][rows], f[rows], g[rows])], ["gkey", "rep", "label", "f", "g"])
 
@@ -389,17 +401,30 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     found = rows.groupBy("node").agg(F.first("digest").alias("digest"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits"))
     nodes = cut(found.withColumn("rep", F.monotonically_increasing_id()))  # the checkpoint fixes the numbers
 
-    def tried(labelled: DataFrame, first: bool) -> DataFrame:
-        keyed = labelled.select("rep", "label", "fp").mapInArrow(lambda b: _keyed(b, segments, first), "gkey long, rep long, label long, f long, g long")
+    def tried(labelled: DataFrame, pairs: list[int], nearest: bool = False) -> DataFrame:
+        keyed = labelled.select("rep", "label", "fp").mapInArrow(lambda b: _keyed(b, segments, pairs, nearest), "gkey long, rep long, label long, f long, g long")
         return cut(keyed.repartition("gkey").sortWithinPartitions("gkey", "rep").mapInArrow(_tries(rule), "src long, dst long").distinct())
 
-    tries = tried(nodes.withColumn("label", F.col("rep")), True)
-    label = cut(nodes.join(tries.groupBy(F.col("src").alias("rep")).agg(F.min("dst").alias("least")), "rep", "left").select("rep", F.coalesce("least", "rep").alias("label")))
-    for _ in range(JUMPS):  # each label takes over its own label
-        label = cut(label.join(label.select(F.col("rep").alias("label"), F.col("label").alias("next")), "label").select("rep", F.col("next").alias("label")))
-    tries = tries.unionByName(tried(nodes.join(label, "rep"), False))
-    tops = components(tries).select(F.col("src").alias("rep"), F.col("dst").alias("near"))
-    near = nodes.join(tops, "rep", "left").select("rep", F.coalesce("near", "rep").alias("near"), "n", "fp", "bits")
+    def relabelled(label: DataFrame, tries: DataFrame) -> DataFrame:
+        """Labels after tries, which lead from label to label."""
+        a, b = (label.select(F.col("rep").alias(k), F.col("label").alias(f"label_{k}")) for k in ("src", "dst"))
+        tops = components(tries.join(a, "src").join(b, "dst").select(F.col("label_src").alias("src"), F.col("label_dst").alias("dst")))
+        return cut(label.join(tops.select(F.col("src").alias("label"), F.col("dst").alias("top")), "label", "left").select("rep", F.coalesce("top", "label").alias("label")))
+
+    pairs = list(range(segments * (segments - 1) // 2))
+    tries = tried(nodes.withColumn("label", F.col("rep")), pairs[:1], nearest=True)
+    label = cut(nodes.select("rep").join(tries.groupBy(F.col("src").alias("rep")).agg(F.min("dst").alias("least")), "rep", "left").select("rep", F.coalesce("least", "rep").alias("label")))
+    tries = tries.unionByName(tried(nodes.join(label, "rep"), pairs[:1]))
+    label = relabelled(label, tries)
+    more = []
+    for at in range(1, len(pairs), ROUND):
+        free_shuffles(docs.sparkSession)
+        more.append(tried(nodes.join(label, "rep"), pairs[at : at + ROUND]))
+    if more:
+        more = reduce(DataFrame.unionByName, more).distinct()
+        tries, label = tries.unionByName(more), relabelled(label, more)
+    free_shuffles(docs.sparkSession)
+    near = nodes.join(label, "rep").select("rep", F.col("label").alias("near"), "n", "fp", "bits")
 
     def verified(pairs: DataFrame) -> DataFrame:
         p, q = (nodes.select(F.col("rep").alias(k), F.col("bits").alias(f"bits_{k}"), F.col("n").alias(f"n_{k}")) for k in ("src", "dst"))
@@ -412,6 +437,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
         return cut(shared.where(F.col("m") * rule.down >= (F.col("nx") + F.col("ny") - F.col("m")) * rule.up).select("src", "dst"))
 
     links = verified(tries)
+    free_shuffles(docs.sparkSession)
     found = components(links).select(F.col("src").alias("rep"), F.col("dst").alias("root"))
     labelled = cut(near.join(found, "rep", "left").withColumn("root", F.coalesce("root", "rep")))
     several = labelled.groupBy("near").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("near", "members")
@@ -420,6 +446,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     cells = dealt.select("near", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "root", "n", "fp", "bits")
     rest = cells.repartition("near", "lo", "hi").sortWithinPartitions("near", "lo", "hi").mapInArrow(_cells(rule, segments), "src long, dst long, root_a long, root_b long")
     rest = cut(rest.distinct().join(tries, ["src", "dst"], "left_anti"))
+    free_shuffles(docs.sparkSession)
 
     def merged(pairs: DataFrame) -> DataFrame:
         """(root, higher): the components of roots that verified pairs join."""
@@ -429,6 +456,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     # a pair for any two components first; all others only where these are still apart
     one = rest.groupBy("root_a", "root_b").agg(F.min(F.struct("src", "dst")).alias("p")).select("p.src", "p.dst")
     more = verified(one)
+    free_shuffles(docs.sparkSession)
     higher = merged(more)
     left = rest
     for side in ("root_a", "root_b"):

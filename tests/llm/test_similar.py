@@ -130,3 +130,31 @@ def test_components_above_a_cell(spark, monkeypatch):
 
 def test_empty_table(no_docs):
     assert similar.near_dedup(no_docs).count() == 0
+
+
+def test_nearest_keys_spare_tries_of_near_copies():
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    texts = [" ".join(w if j not in (i % 200, i * 7 % 200) else f"v{i}" for j, w in enumerate(base)) for i in range(300)]
+    fps, n = np.array([similar.word_fingerprint(t) for t in texts]), len(texts)
+    f, g = similar._packed(fps)
+
+    def tried(label, **how):
+        rows, keys = similar.keys_of(fps, [0], **how)
+        order = np.lexsort((rows, keys))
+        rows, keys = rows[order], keys[order]
+        tries = similar._tries(similar.Rule(Fraction("0.8"), similar.DISTANCE))
+        cuts = np.flatnonzero(np.diff(keys)) + 1  # each key in a task of its own
+        tasks = [pa.RecordBatch.from_arrays([pa.array(c) for c in (k, r, label[r], f[r], g[r])], ["gkey", "rep", "label", "f", "g"]) for k, r in zip(np.split(keys, cuts), np.split(rows, cuts), strict=True)]
+        return [p for t in tasks for b in tries(iter([t])) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+
+    own = np.arange(n)
+    rows, _ = similar.keys_of(fps, [0], nearest=True)
+    assert rows.tolist() == own.tolist()  # one nearest codeword of each segment
+    first, label = tried(own, nearest=True), own.copy()
+    for a, b in first:
+        label[a] = min(label[a], b)
+    assert 2 * (len(first) + len(tried(label))) < len(tried(own))
+    every = similar.keys_of(fps, list(range(10)))
+    rounds = [similar.keys_of(fps, p) for p in ([0], [1, 2, 3], [4, 5, 6], [7, 8, 9])]
+    assert sorted(zip(*every, strict=True)) == sorted(zip(*(np.concatenate(x) for x in zip(*rounds, strict=True)), strict=True))
