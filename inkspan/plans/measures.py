@@ -124,7 +124,7 @@ def word_rates(spark, sf):
 @register("suffix_rates", _DOC_WORDS + """, t AS (SELECT doc, count(*) AS n FROM w GROUP BY doc), s(suffix) AS (VALUES ('ing'), ('ed'), ('ung'), ('keit'), ('ment'), ('cion'))
 SELECT w.doc, suffix, round(100.0::DOUBLE * count(*) / any_value(t.n), 6) AS rate FROM w JOIN t USING (doc), s WHERE ends_with(word, suffix) AND length(word) > length(suffix) + 1 GROUP BY w.doc, suffix""")
 def suffix_rates(spark, sf):
-    return r6(frequency.suffix_rates(frequency.word_counts(doc_words(spark, sf), ["doc"]), ["doc"], ["ing", "ed", "ung", "keit", "ment", "cion"]), "rate")
+    return r6(frequency.suffix_rates_texts(doc_texts(spark, sf), ["doc"], ["ing", "ed", "ung", "keit", "ment", "cion"]), "rate")
 
 
 @register("line_lengths", SQL_UNITS + """, n AS (SELECT book, seq, n_tokens, lead(n_tokens) OVER (PARTITION BY book ORDER BY seq) AS after FROM units), b AS (SELECT book, count(*) AS n, avg(n_tokens) AS mean, stddev_pop(n_tokens) AS sd, CASE WHEN count(after) > 1 AND stddev_pop(CASE WHEN after IS NOT NULL THEN n_tokens END) > 0 AND stddev_pop(after) > 0 THEN corr(n_tokens, after) ELSE 0 END AS lag_one FROM n GROUP BY book)

@@ -87,3 +87,15 @@ def test_equal_pairs_of_texts_are_compared_once(spark):
     plain = witness.similarity_by_book(witness.compared(witness.aligned(units, chosen))).collect()
     got = witness.similarity(units, chosen).collect()
     assert [r.asDict() for r in got] == [pytest.approx(r.asDict()) for r in plain] and plain[0].aligned > 50
+
+
+def test_suffixes_are_counted_in_the_row(spark):
+    rows = [(1, ["going", "ing", "xing", "being", "ended", "the"]), (1, ["singing"]), (2, []), (2, None), (3, ["word"]), (None, ["going"])]
+    texts = spark.createDataFrame(rows, "doc long, words array<string>")
+    suffixes = ["ing", "ed"]
+    got = frequency.suffix_rates_texts(texts, ["doc"], suffixes)
+    words = texts.select("doc", F.explode("words").alias("word"))
+    want = frequency.suffix_rates(frequency.word_counts(words, ["doc"]), ["doc"], suffixes)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [(1, "ed", 100 / 7), (1, "ing", 300 / 7)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.count("Join") == 0  # no row is a word
