@@ -429,9 +429,11 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     def verified(pairs: DataFrame) -> DataFrame:
         p, q = (nodes.select(F.col("rep").alias(k), F.col("bits").alias(f"bits_{k}"), F.col("n").alias(f"n_{k}")) for k in ("src", "dst"))
         allowed = cut(pairs.join(p, "src").join(q, "dst").where(rule.may(F.col("bits_src"), F.col("bits_dst"), F.col("n_src"), F.col("n_dst"))).select("src", "dst"))
+        free_shuffles(docs.sparkSession)
         wanted = nodes.select("rep", "digest", "node").join(allowed.select(F.explode(F.array("src", "dst")).alias("rep")).distinct(), "rep")
         texts = docs.join(wanted.select("digest"), "digest", "left_semi").select("text")
         sets = cut(_sets(texts, size)).dropDuplicates(["node"]).join(wanted.select("rep", "node"), "node")
+        free_shuffles(docs.sparkSession)  # whole texts went through that shuffle
         a, b = (sets.select(F.col("rep").alias(k), F.col("shingles").alias(x)) for k, x in (("src", "x"), ("dst", "y")))
         shared = allowed.join(a, "src").join(b, "dst").select("src", "dst", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("m"))
         return cut(shared.where(F.col("m") * rule.down >= (F.col("nx") + F.col("ny") - F.col("m")) * rule.up).select("src", "dst"))
@@ -465,6 +467,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     left = cut(left.where(apart).select("src", "dst").join(one, ["src", "dst"], "left_anti"))
     if not left.isEmpty():
         higher = merged(more.unionByName(verified(left)))
+    free_shuffles(docs.sparkSession)
     whole = labelled.select("rep", "root").join(higher, "root", "left").select("rep", F.coalesce("higher", "root").alias("root"))
     roots = nodes.select("node", "rep").join(whole, "rep", "left").select("node", F.coalesce("root", "rep").alias("class"))
     return cut(rows.select("key", "digest", "node").join(roots, "node").select("key", "digest", "class"))
@@ -481,7 +484,12 @@ def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     """One whole row of docs per class: that with the smallest key (null: last; then
     by the text's digest).  Rows are told apart by their texts, so keys may repeat."""
     found = classes(docs, text, key, size, similarity, segments, distance)
+    free_shuffles(docs.sparkSession)  # the rows' texts are shuffled next
     best = found.groupBy("class").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "digest")).alias("best"))
-    kept = best.select(F.col("best.digest").alias("kept_digest"), F.col("best.key").alias("kept_key"))
-    held = docs.withColumn("kept_digest", digest_of(F.col(text))).join(kept, "kept_digest").where(F.col(key).cast("long").eqNullSafe(F.col("kept_key")))
-    return held.dropDuplicates(["kept_digest"]).select(*docs.columns)
+    # a null key is told by a column of its own, so that the rows' texts are shuffled once
+    # for the join and for repeated rows
+    by = ["kept", "none", "digest"]
+    number = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias("kept")
+    kept = best.select(number(F.col("best.key")), F.col("best.none").alias("none"), F.col("best.digest").alias("digest"))
+    held = docs.select(F.struct("*").alias("row"), number(F.col(key).cast("long")), F.col(key).cast("long").isNull().alias("none"), digest_of(F.col(text)).alias("digest"))
+    return held.join(kept, by).dropDuplicates(by).select("row.*")

@@ -1,11 +1,12 @@
 import random
 import time
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 
-from inkspan.llm import similar
+from inkspan.llm import common, similar
 
 
 def shingles(text, size=5):
@@ -158,3 +159,25 @@ def test_nearest_keys_spare_tries_of_near_copies():
     every = similar.keys_of(fps, list(range(10)))
     rounds = [similar.keys_of(fps, p) for p in ([0], [1, 2, 3], [4, 5, 6], [7, 8, 9])]
     assert sorted(zip(*every, strict=True)) == sorted(zip(*(np.concatenate(x) for x in zip(*rounds, strict=True)), strict=True))
+
+
+def test_shuffle_files_of_finished_steps_are_freed(spark):
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f.name for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+    before, made, kept = files(), [], []
+    for _ in range(2):
+        rows = spark.range(20_000).selectExpr("id", "id % 100 as g").mapInArrow(lambda b: b, "id long, g long")
+        kept.append(common.cut(rows.repartition("g").sortWithinPartitions("g").mapInArrow(lambda b: b, "id long, g long").distinct()))
+        made.append(files() - before.union(*made))
+        common.free_shuffles(spark)
+    time.sleep(1)
+    assert all(made) and not made[0] & files()  # the last step's may stay until the next call
+    assert [k.count() for k in kept] == [20_000, 20_000]
+
+
+def test_representatives_shuffle_texts_once(spark):
+    rows = [(None, "a b c d e f", "x"), (None, "a b c d e f", "x"), (0, "g h i j k l", "y"), (0, "g h i j k l", "y"), (0, "m n o p q", None), (2, None, "z"), (1, "", "z")]
+    got = similar.representatives(spark.createDataFrame(rows, "doc_id long, text string, none string"))
+    assert sorted(got.collect(), key=str) == sorted([(None, "a b c d e f", "x"), (0, "g h i j k l", "y"), (0, "m n o p q", None), (1, "", "z")], key=str)
+    plan = got.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 3  # classes, kept keys and, once, the rows
