@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from inkspan.functions import tokens
 from inkspan.operators import continuity, passages, query, rollups, witness
+from inkspan.plans import structure
 from inkspan.sources import units as source
 
 
@@ -154,6 +155,17 @@ def test_exact_windows_and_even_picks(spark):
     assert sorted(r.o for r in passages.evenly(rows, 20, ("g",), "o").collect()) == want
 
 
+def test_even_picks_of_large_groups_by_ranges(spark):
+    rows = spark.createDataFrame([(g, i, "n") for g, n in ((None, 57), ("a", 1), ("b", 20), ("c", 21), ("d", 5000)) for i in range(n)], "g string, o int, at string").repartition(7)
+    got, want = (sorted(((r.g or "", r.o) for r in f(rows, 20, ("g",), "o").collect())) for f in (passages.evenly_ranged, lambda x, *a: passages.evenly(x.drop("at"), *a)))
+    assert got == want and len(got) == 81
+    tied = passages.evenly_ranged(spark.range(5000).selectExpr("1 as g", "id div 100 as o", "id"), 20, ("g",), "o").collect()
+    assert [sorted(r.o for r in tied), len({r.id for r in tied})] == [sorted(int(i * 4999 / 19) // 100 for i in range(20)), 20]
+    assert passages.evenly_ranged(rows.limit(0), 20, ("g",), "o").count() == 0
+    plan = structure.passage_sample20(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "row_number" in x and "part" not in x]  # no task numbers a whole language
+
+
 def test_runs_break_at_gaps(spark):
     u = spark.createDataFrame([("x", 1, 1, False), ("x", 2, 2, False), ("x", 3, 4, False), ("x", 4, 5, True), ("x", 5, 6, False)], "book string, seq long, n int, has_gap boolean")
     got = continuity.runs(u, continuity.follows_by_number("n", ("book",)), ("book",)).orderBy("seq").collect()
