@@ -99,3 +99,29 @@ def test_suffixes_are_counted_in_the_row(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [(1, "ed", 100 / 7), (1, "ing", 300 / 7)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate") == 1 and plan.count("Join") == 0  # no row is a word
+
+
+def test_pairs_are_measured_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(supervised, "BLOCK", (2, 3))
+    vectors = [[1.0, 2.0], [0.0, 0.0], [3.0, -1.0], [0.5, 0.5], [1.0, None], [1.0], [2.0, 2.0], [-1.0, 4.0]]
+    e = spark.createDataFrame([(k, v, k % 2) for k, v in enumerate(vectors)] + [(8, None, 0), (9, [1.0, 1.0], None), (6, [7.0, 1.0], 0)], "key long, v array<float>, label int")
+    q = e.where("key % 3 = 0")
+    plain = q.select("label", F.col("key").alias("a"), F.col("v").alias("l")).join(e.select("label", F.col("key").alias("b"), F.col("v").alias("r")), "label").where("a <> b and l is not null and r is not null")
+    want = supervised.pair_features(plain, "l", "r").drop("l", "r")
+    got = supervised.pair_blocks(q, e, "key", "v", "label")
+    order = lambda x: sorted(map(tuple, x.select("label", "a", "b", "absolute", "rms", "cosine").collect()), key=str)
+    assert order(got) == order(want) and want.count() > 10
+    assert "v" not in got.columns and "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString()  # no vector goes with a pair
+
+
+def test_gallery_means_make_no_pairs(spark):
+    rows = [(k, [float(k % 5), float(k % 3), 1.0 - k % 2], k % 2, k % 3) for k in range(40)] + [(12, [1.0, 5.0, 2.0], 0, 0), (41, [0.0, 0.0, 0.0], 1, 2), (42, None, 0, 0), (50, [1.0, 1.0, 1.0], 7, 2)]
+    e = spark.createDataFrame(rows, "key long, v array<float>, label int, work int")
+    q = e.where("key % 6 = 0 or key > 40")
+    pairs = q.select("label", F.col("key").alias("query"), F.col("v").alias("l")).join(e.select("label", "work", F.col("key").alias("b"), F.col("v").alias("r")), "label").where("query <> b and l is not null and r is not null")
+    plain = supervised.pair_features(pairs, "l", "r").select("query", F.col("label").alias("author"), "work", F.col("cosine").alias("score"))
+    key = ("query", "author", "works")
+    want = {tuple(r[k] for k in key): r.score for r in supervised.gallery_scores(plain).collect()}
+    found = supervised.gallery_means(q, e, "key", "v", "label", "work")
+    assert {tuple(r[k] for k in key): r.score for r in found.collect()} == pytest.approx(want) and len(want) > 7
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
