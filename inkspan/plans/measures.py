@@ -252,7 +252,7 @@ def rolling_windows(spark, sf):
 def change_points(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), tokens.folded_words(F.col("text")).alias("words"))
     wide = rolling.windows(docs, "words", 100, 50).select("doc", "start", "window")
-    rows = wide.mapInPandas(rolling.text_features, "doc long, start int, mean_length double, short double, variety double")
+    rows = wide.mapInArrow(rolling.text_features_arrow, "doc long, start int, mean_length double, short double, variety double")
     return rolling.change_points(rows, ["doc"], "start", ["mean_length", "short", "variety"], permutations=500)
 
 
