@@ -40,18 +40,19 @@ def consensus_without_self(members: DataFrame, key: str, member: str, scale: str
     return members.withColumn("gap", F.abs(F.col(scale) - others)).groupBy(member).agg(F.count("gap").alias("n"), F.avg("gap").alias("mean_gap"))
 
 
-def pooled(profiles: DataFrame, membership: DataFrame, scales: list[str], classes: list[str], tags: str, coverage: float = 0.8, most_tags: int = 8) -> DataFrame:
-    """Unit profiles pooled to passages: means, modes and the most frequent tags,
-    for passages of which enough tokens have a profile.
+def pooled(profiles: DataFrame, membership: DataFrame, scales: list[str], classes: list[str], tags: str | None = None, coverage: float = 0.8, most_tags: int = 8) -> DataFrame:
+    """Unit profiles pooled to passages: means, modes (ties: the smallest; nulls
+    have no vote) and the most
+    frequent tags, if asked for, for passages of which enough tokens have a profile.
+    Means and modes come from one shuffle.
 
     membership: (passage_id, id, n_tokens); profiles: (id, ...)."""
     rows = membership.join(profiles, "id", "left").withColumn("has", F.col(scales[0]).isNotNull())
-    base = rows.groupBy("passage_id").agg(*[F.avg(s).alias(s) for s in scales], (F.sum(F.when(F.col("has"), F.col("n_tokens")).otherwise(0)) / F.sum("n_tokens")).alias("coverage"))
+    modes = [F.mode(F.when(F.col("has"), F.col(c)), True).alias(c) for c in classes]
+    base = rows.groupBy("passage_id").agg(*[F.avg(s).alias(s) for s in scales], (F.sum(F.when(F.col("has"), F.col("n_tokens")).otherwise(0)) / F.sum("n_tokens")).alias("coverage"), *modes)
     base = base.where(F.col("coverage") >= coverage)
-    for c in classes:
-        votes = rows.where("has").groupBy("passage_id", c).agg(F.count("*").alias("n"))
-        won = votes.groupBy("passage_id").agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(c).alias("v"))).alias("w")).select("passage_id", F.col("w.v").alias(c))
-        base = base.join(won, "passage_id")
+    if tags is None:
+        return base
     each = rows.select("passage_id", F.explode(tags).alias("tag")).groupBy("passage_id", "tag").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("passage_id").orderBy(F.desc("n"), "tag"))
     top = each.withColumn("place", place).where(F.col("place") <= most_tags).groupBy("passage_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "tag"))), lambda x: x["tag"]).alias(tags))

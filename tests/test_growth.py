@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkspan.operators import frequency, lexical, supervised, verifier, witness
+from inkspan.operators import frequency, lexical, passages as packing, profiles, rolling, supervised, verifier, witness
 
 
 def test_ratio_over_texts_equals_ratio_over_words(spark):
@@ -125,3 +125,40 @@ def test_gallery_means_make_no_pairs(spark):
     found = supervised.gallery_means(q, e, "key", "v", "label", "work")
     assert {tuple(r[k] for k in key): r.score for r in found.collect()} == pytest.approx(want) and len(want) > 7
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_exact_windows_need_no_row_a_token(spark):
+    rng = random.Random(5)
+    rows = [(book, f"{book}{k}", k, [f"w{i}" for i in range(rng.choice([0, 1, 3, 4, 9, 23]))]) for book, n in (("a", 30), ("b", 2), ("c", 1)) for k in range(n)] + [(None, "x", 1, ["w"] * 11)]
+    u = spark.createDataFrame(rows, "book string, id string, seq long, words array<string>")
+    want = packing.exact(u.select("book", "id", "seq", F.posexplode("words").alias("pos", "word")), 5, ("book",))
+    got = packing.exact_units(u.select("book", "id", "seq", F.size("words").alias("n")), 5, ("book",))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.select(*got.columns).collect()), key=str) and got.count() > 30
+
+
+def test_series_are_measured_many_at_a_time(spark):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(k, [rng.choice(["a", "bb", "ccc", "dddd", "eeeeé"]) for _ in range(n)]) for k, n in enumerate([0, 3, 20, 45, 45, 80])] + [(None, ["x"] * 30)], "doc long, words array<string>")
+    wide = rolling.windows(docs, "words", 6, 3).select("doc", "start", "window")
+    shape = "doc long, start int, mean_length double, short double, variety double"
+    names = ["mean_length", "short", "variety"]
+    plain = wide.mapInPandas(rolling.text_features, shape).toPandas()
+    rows = wide.mapInArrow(rolling.text_features_arrow, shape)
+    assert sorted(map(tuple, rows.fillna(-1).collect())) == sorted(tuple(r) for r in plain.fillna({"doc": -1}).itertuples(index=False))
+    found = rolling.change_points(rows, ["doc"], "start", names, permutations=50)
+    got = {r.doc: tuple(r)[1:] for r in found.collect()}
+    for doc, part in plain.fillna({"doc": -1}).groupby("doc"):
+        x = part.sort_values("start")[names].to_numpy(float)
+        # a small block takes the orders one after another, as before
+        assert got[None if doc == -1 else int(doc)] == (len(x), *rolling.change_point(x, permutations=50, block=1))
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_profiles_are_pooled_in_one_shuffle(spark):
+    member = spark.createDataFrame([("p", str(k), 1 + k % 3) for k in range(9)] + [("q", "20", 4), ("q", "21", 1), ("r", "30", 5)], "passage_id string, id string, n_tokens int")
+    own = spark.createDataFrame([(str(k), k / 10, "ab"[k % 2], ["t", f"u{k % 4}"]) for k in range(8)] + [("20", 1.0, "z", ["t"])], "id string, x double, kind string, tags array<string>")
+    got = profiles.pooled(own, member, ["x"], ["kind"])
+    assert [(r.passage_id, round(r.x, 6), round(r.coverage, 6), r.kind) for r in got.orderBy("passage_id").collect()] == [("p", 0.35, round(15 / 18, 6), "a"), ("q", 1.0, 0.8, "z")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    tags = {r.passage_id: r.tags for r in profiles.pooled(own, member, ["x"], ["kind"], "tags").collect()}
+    assert tags == {"p": ["t", "u0", "u1", "u2", "u3"], "q": ["t"]}
