@@ -1,5 +1,6 @@
 """Steps whose cost must follow the input."""
 
+import hashlib
 import math
 import random
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkspan.operators import frequency, lexical, passages as packing, profiles, rolling, supervised, verifier, witness
+from inkspan.sources import manifest
 
 
 def test_ratio_over_texts_equals_ratio_over_words(spark):
@@ -162,3 +164,20 @@ def test_profiles_are_pooled_in_one_shuffle(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
     tags = {r.passage_id: r.tags for r in profiles.pooled(own, member, ["x"], ["kind"], "tags").collect()}
     assert tags == {"p": ["t", "u0", "u1", "u2", "u3"], "q": ["t"]}
+
+
+def test_fingerprint_goes_from_task_to_task(spark):
+    rows = [(k % 70, f"i{k}", None if k % 11 == 0 else f"text ü {k} " * (k % 5)) for k in range(500)]
+    units = spark.createDataFrame(rows, "seq long, id string, text string").repartition(7)
+    want = hashlib.sha256("".join(f"{i}\0{t or ''}\0" for _, i, t in sorted(rows, key=lambda r: r[:2])).encode()).hexdigest()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    group = "fingerprint"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        assert manifest.corpus_fingerprint(units) == want
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) > 4  # a job a range, so no task reads all
+    assert manifest.corpus_fingerprint(units.limit(0)) == hashlib.sha256().hexdigest()
