@@ -6,9 +6,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import functions as F
 
-from inkspan.operators import frequency, lexical, passages as packing, profiles, rolling, supervised, verifier, witness
+from inkspan.operators import frequency, lexical, passages as packing, profiles, rolling, spaces, supervised, verifier, witness
 from inkspan.sources import manifest
 
 
@@ -181,3 +182,15 @@ def test_fingerprint_goes_from_task_to_task(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(jobs) > 4  # a job a range, so no task reads all
     assert manifest.corpus_fingerprint(units.limit(0)) == hashlib.sha256().hexdigest()
+
+
+def test_vocabulary_is_what_the_vectorizer_learns(spark):
+    rng = random.Random(11)
+    docs = spark.createDataFrame([([f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(30))],) for _ in range(80)], "words array<string>")
+    for least, most in ((3.0, 0.5), (0.05, 60.0)):
+        want = CountVectorizer(inputCol="words", outputCol="c", minDF=least, maxDF=most).fit(docs).vocabulary
+        got = spaces.vocabulary(docs, "words", least, most)
+        assert sorted(got) == sorted(want) and len(got) > 5
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    spaces.topics(docs, "words", k=2).count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
