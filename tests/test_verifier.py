@@ -5,8 +5,9 @@ from itertools import combinations, product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from inkspan.operators import lexical, verifier
+from inkspan.operators import evaluate, lexical, verifier
 
 STYLES = ("kai de logos kai te", "men oun polis gar oun", "hoti de anthropos hoti gar")
 WORDS, SUFFIXES = ["kai", "de", "oun", "gar", "hoti"], ["os", "is"]
@@ -137,3 +138,20 @@ def test_what_is_no_evidence_is_refused(trained, spark):
         verifier.score_pairs(model, passages, spark.createDataFrame([bad[0][:2]], "a string, b string"))
     with pytest.raises(ValueError, match="two authors"):
         verifier.fit(passages.where("author = 'author0'"), WORDS, SUFFIXES)
+
+
+def test_all_pairs_of_two_works_are_tried(spark, monkeypatch):
+    rows = [("grc", f"w{k % 3}", f"p{k}") for k in range(75)] + [("grc", "w0", None), ("grc", None, "x"), (None, "w1", "y"), ("lat", "w0", "z")]
+    passages = spark.createDataFrame(rows, "language string, work string, id string")
+    want = set()
+    for a, b in combinations(["w0", "w1", "w2"], 2):
+        ids = [[r[2] for r in rows if r[:2] == ("grc", w)] for w in (a, b)]
+        name = lambda p: ":".join(["7", *[x for x in p if x is not None]])
+        pairs = sorted(product(*ids), key=lambda p: hashlib.sha256(name(p).encode()).hexdigest())
+        want |= {("grc", a, x, b, y, k) for k, (x, y) in enumerate(pairs[:8], 1)}
+    for size in (4, 4096):  # many parts a work, and one
+        monkeypatch.setattr(evaluate, "PASSAGES_AT_ONCE", size)
+        assert {tuple(r) for r in evaluate.pair_sample(passages, "work", "id", "language", 8, "7").collect()} == want
+    assert len({x for w in want if w[1] == "w0" for x in w[2:5:2]}) > 16  # more than 8 of each work
+    numbers = passages.select("language", "work", F.expr("try_cast(substring(id, 2) as bigint)").alias("id")).where("id is not null")
+    assert evaluate.pair_sample(numbers, "work", "id", "language", 2, "7").count() == 6
