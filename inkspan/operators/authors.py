@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,10 +88,6 @@ def fit_centroids(passages: DataFrame, kind: str, words: list[str], suffixes: li
     return Centroids(language, kind, words, suffixes, pairs, scale, dict(sorted(centroids.items())))
 
 
-def _sparse(size: int):
-    return F.udf(lambda at, x: Vectors.sparse(size, at, x), VectorUDT())
-
-
 def fit_characters(passages: DataFrame, most_grams: int = 30_000, strength: float = 1.0, tol: float = 1e-6) -> Characters:
     """Weighted softmax regression; gradients of sparse rows are added up where the
     rows are, and what the driver holds is authors x n-grams of the vocabulary."""
@@ -102,8 +97,8 @@ def fit_characters(passages: DataFrame, most_grams: int = 30_000, strength: floa
     names = [r.author for r in rows.select("author").distinct().orderBy("author").collect()]
     place = F.array_position(F.array(*map(F.lit, names)), F.col("author")) - 1
     total = rows.agg(F.sum("weight")).first()[0]
-    placed = rows.select("id", "words", place.cast("double").alias("y"), F.col("weight").alias("w"))
-    data = lexical.gram_vectors(placed, space, ("y", "w")).select(_sparse(space.size)("at", "x").alias("x"), "y", "w")  # the fit holds its own blocks of them
+    placed = rows.select("words", place.cast("double").alias("y"), F.col("weight").alias("w"))
+    data = lexical.sparse_vectors(placed, space, ("y", "w"))  # the fit holds its own blocks of them
     fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1 / (strength * total), elasticNetParam=0.0, standardization=False, maxIter=2000, tol=tol, family="multinomial").fit(data)
     return Characters(language, space, names, fitted)
 
@@ -114,7 +109,7 @@ def scores(model: Centroids | Characters, passages: DataFrame) -> DataFrame:
     if passages.where(F.col("language") != model.language).limit(1).count():
         raise ValueError("passages of another language than the model's")
     if isinstance(model, Characters):
-        rows = lexical.gram_vectors(passages, model.space).select("id", _sparse(model.space.size)("at", "x").alias("x"))
+        rows = lexical.sparse_vectors(passages, model.space, ("id",))
         raw = model.fitted.transform(rows).select("id", vector_to_array("rawPrediction").alias("s"))
         named = F.arrays_zip(F.array(*map(F.lit, model.authors)).alias("candidate"), F.col("s").alias("score"))
         return raw.select("id", F.explode(named).alias("e")).select("id", "e.candidate", "e.score")

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import functions as F
@@ -63,6 +64,18 @@ def test_vectors_are_made_where_the_passage_is(spark):
         assert list(r["at"]) == sorted(want) and r.x == pytest.approx([want[i] / norm for i in sorted(want)])
 
 
+def test_vectors_are_made_few_at_a_time(spark):
+    words = [[f"w{(i * k) % 17}ing" for k in range(i % 40)] for i in range(lexical.AT_ONCE * 3 + 5)] + [None]
+    batch = pa.RecordBatch.from_pydict({"id": [str(i) for i in range(len(words))], "words": words})
+    parts = list(lexical.gram_rows([batch], {"ing": 0, " w1": 1}, np.array([1.0, 2.0]), ("id",)))
+    assert [len(at) for _, at, _ in parts] == [256, 256, 256, 6] and [i for kept, _, _ in parts for i in kept[0].to_pylist()] == batch["id"].to_pylist()
+    p = passages(spark)
+    space = lexical.gram_space(p, 50)
+    plain = {r.id: (r["at"], r.x) for r in lexical.gram_vectors(p, space).collect()}
+    for r in lexical.sparse_vectors(p, space, ("id", "work")).collect():
+        assert r.x.size == space.size and (list(r.x.indices), list(r.x.values)) == plain[r.id]
+
+
 def test_only_passages_of_pairs_are_described(spark):
     p = passages(spark)
     pairs = spark.createDataFrame([("1", "2"), ("2", "3")], "a string, b string")
