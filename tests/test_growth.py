@@ -95,6 +95,24 @@ def test_blocks_learn_what_one_matrix_does(spark):
     assert np.abs(x @ got - x @ want).max() < 0.05 and ((x @ got).argmax(1) == y).all()
 
 
+def test_few_rounds_reach_the_minimum(spark):
+    rng = np.random.default_rng(8)
+    y = np.repeat([0, 1, 2], [150, 40, 10])
+    rows = [(at, v / np.linalg.norm(v)) for c in y for at in [np.unique([*range(20), *rng.integers(20, 120, 30), *rng.integers(100 * c, 100 * c + 150, 6)])] for v in [rng.uniform(0.5, 2, len(at)) * np.where(at < 20, 4, 1)]]
+    sizes, x = np.bincount(y).astype(float), supervised._dense(rows)
+    sc = spark.sparkContext
+    sc.setJobGroup("rounds", "rounds")
+    try:
+        w = supervised.fit_shared(sc.parallelize([(rows[:120], y[:120]), (rows[120:], y[120:])], 2), sizes)
+        jobs = sc.statusTracker().getJobIdsForGroup("rounds")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sign = np.where(y[:, None] == np.arange(3), 1.0, -1.0)
+    weight = np.where(sign > 0, 200 / (2 * sizes), 200 / (2 * (200 - sizes)))
+    slope = lambda w: w - 2 * x.T @ (weight * sign * np.maximum(0, 1 - sign * (x @ w)))
+    assert len(jobs) < 150 and (np.abs(slope(w)).max(0) <= 0.0101 * np.abs(slope(0 * w)).max(0)).all()
+
+
 def test_equal_pairs_of_texts_are_compared_once(spark):
     texts = ["a b c", "a b c", "a x c", "", "q r", None]
     rows = [("en", "B", w, "s", "1", str(v % 2), texts[(v + k) % 6], 3) for w, n in (("S", 9), ("X", 7)) for v in range(n) for k in (0, 3)]
